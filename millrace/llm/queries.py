@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, brown, toxicity
+from millrace.llm import bpe, brown, jaccard, toxicity
 from millrace.llm.common import held_out
 
 
@@ -37,5 +37,10 @@ def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_brown_lm)}
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links documents of like four-word shingle sets (Jaccard 0.85 or more)."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_brown_lm, op4_jaccard_join)}
 ORACLES: dict[str, str] = {}
