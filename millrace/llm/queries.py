@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, brown, jaccard, toxicity
+from millrace.llm import bpe, brown, iblt, jaccard, toxicity
 from millrace.llm.common import held_out
 
 
@@ -42,5 +42,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_brown_lm, op4_jaccard_join)}
+def op5_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints every document, its edit and the likeness to its edit and to the next document."""
+    return iblt.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_brown_lm, op4_jaccard_join, op5_iblt_fingerprints)}
 ORACLES: dict[str, str] = {}
