@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, brown, iblt, jaccard, toxicity
+from millrace.llm import ann, bpe, brown, iblt, jaccard, toxicity, warc
 from millrace.llm.common import held_out
 
 
@@ -47,5 +47,16 @@ def op5_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_brown_lm, op4_jaccard_join, op5_iblt_fingerprints)}
+def op6_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth."""
+    found = ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page as a record and reads the archives back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_brown_lm, op4_jaccard_join, op5_iblt_fingerprints, op6_block_matrix_ann, op7_warc)}
 ORACLES: dict[str, str] = {}
