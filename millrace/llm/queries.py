@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, brown, iblt, jaccard, toxicity, warc
+from millrace.llm import ann, bpe, brown, iblt, jaccard, licenses, packing, pii, toxicity, warc
 from millrace.llm.common import held_out
 
 
@@ -58,5 +58,30 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_brown_lm, op4_jaccard_join, op5_iblt_fingerprints, op6_block_matrix_ann, op7_warc)}
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs every document into sequences of 1024."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    path = public_tokenizers.path
+    return packing.pack(docs, path("byte_bpe_50k.json"), ranks=path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
+#: For the test tables only; whoever runs this on real data passes a secret.
+TEST_KEY = b"millrace test key"
+
+
+def op10_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replaces personal data in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", pii.pseudonymised(F.col("text"), TEST_KEY).alias("p"))
+    return docs.select("doc_id", "p.text", "p.n_found", "p.kinds")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_brown_lm, op4_jaccard_join, op5_iblt_fingerprints, op6_block_matrix_ann, op7_warc, op8_license_scan, op9_harmonic_packing, op10_feistel_pii)}
 ORACLES: dict[str, str] = {}
