@@ -522,4 +522,4 @@ def stream_maxrows(spark, sf_dir):
     q.awaitTermination()
     last = max((p["batchId"] for p in q.recentProgress), default=0)
     a.finish(last, df.schema)
-    return a.read().groupBy(F.col("group").alias("bid")).agg(F.count(F.lit(1)).alias("n_rows"), F.min("event_id").alias("lo_id"), F.max("event_id").alias("hi_id"))
+    return a.read().groupBy(F.col("__group").alias("bid")).agg(F.count(F.lit(1)).alias("n_rows"), F.min("event_id").alias("lo_id"), F.max("event_id").alias("hi_id"))

@@ -71,7 +71,7 @@ class StreamRunner:
 class Accumulator:
     """Next-fit accumulation of a stream's whole micro-batches up to n rows; groups leave when the next batch doesn't fit.
 
-    Groups are written to folder/out with group, a number, and pos, a row's place; finish() writes the open group. A micro-batch of
+    Groups are written to folder/out with __group, a number, and __pos, a row's place; finish() writes the open group. A micro-batch of
     more than n rows leaves in parts of n.
     """
 
@@ -93,10 +93,10 @@ class Accumulator:
     def _grouped(self, df: DataFrame) -> DataFrame:
         """Groups of what waits, each epoch whole."""
         sizes = df.groupBy("__epoch").agg(F.count(F.lit(1)).alias("rows")).withColumn("rank", F.col("__epoch"))
-        groups = next_fit(sizes, self.n).select(F.col("__epoch").alias("e2"), "group", "rows")
-        before = F.sum("rows").over(Window.partitionBy("group").orderBy("e2").rowsBetween(Window.unboundedPreceding, -1))
-        groups = groups.withColumn("before", F.coalesce(before, F.lit(0)))
-        return df.join(groups, F.col("__epoch") == F.col("e2")).withColumn("__at", F.col("before") + F.col("__pos"))
+        groups = next_fit(sizes, self.n).select(F.col("__epoch").alias("__e2"), F.col("group").alias("__group"), F.col("rows").alias("__rows"))
+        before = F.sum("__rows").over(Window.partitionBy("__group").orderBy("__e2").rowsBetween(Window.unboundedPreceding, -1))
+        groups = groups.withColumn("__before", F.coalesce(before, F.lit(0)))
+        return df.join(groups, F.col("__epoch") == F.col("__e2")).withColumn("__at", F.col("__before") + F.col("__pos"))
 
     def _write(self, df: DataFrame, epoch: int) -> None:
         w = Window.partitionBy(F.lit(epoch)).orderBy(*self.order_by)
@@ -107,24 +107,23 @@ class Accumulator:
             old.write.mode("overwrite").parquet(f"{self.folder}/waiting/{epoch}")
             return
         grouped = self._grouped(old.unionByName(new)).persist()
-        last = grouped.agg(F.max("group")).first()[0]
-        full = grouped.where(F.col("group") < last)
+        last = grouped.agg(F.max("__group")).first()[0]
+        full = grouped.where(F.col("__group") < last)
         parts = self._parts(full, after, df.columns).persist()
-        written = parts.agg(F.max("group")).first()[0]
+        written = parts.agg(F.max("__group")).first()[0]
         parts.write.mode("overwrite").parquet(f"{self.folder}/out/epoch={epoch}")
         after = after if written is None else written + 1
-        grouped.where(F.col("group") == last).select(*df.columns, "__epoch", "__pos", F.lit(after).cast("long").alias("__next")).write.mode("overwrite").parquet(f"{self.folder}/waiting/{epoch}")
+        grouped.where(F.col("__group") == last).select(*df.columns, "__epoch", "__pos", F.lit(after).cast("long").alias("__next")).write.mode("overwrite").parquet(f"{self.folder}/waiting/{epoch}")
         parts.unpersist()
         grouped.unpersist()
 
     def _parts(self, grouped: DataFrame, first: int, columns: list[str]) -> DataFrame:
         """Groups of more than n rows in parts; numbers go on from first."""
-        part = F.floor(F.col("__at") / self.n)
-        number = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("group", "part")) - 1 + first
+        rows = grouped.withColumn("__part", F.floor(F.col("__at") / self.n))
+        number = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("__group", "__part")) - 1 + first
         # The numbers are of groups, few against rows.
-        ids = grouped.select("group", part.alias("part")).distinct().withColumn("id", number.cast("long"))
-        rows = grouped.withColumn("part", part).join(ids, ["group", "part"])
-        return rows.select(*columns, F.col("id").alias("group"), (F.col("__at") % self.n).cast("long").alias("pos"))
+        ids = rows.select("__group", "__part").distinct().withColumn("__id", number.cast("long"))
+        return rows.join(ids, ["__group", "__part"]).select(*columns, F.col("__id").alias("__group"), (F.col("__at") % self.n).cast("long").alias("__pos"))
 
     def start(self, stream: DataFrame, **trigger):
         return stream.writeStream.foreachBatch(self._write).option("checkpointLocation", f"{self.folder}/_progress").trigger(**(trigger or {"availableNow": True})).start()
