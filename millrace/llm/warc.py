@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 
@@ -66,8 +65,8 @@ def record_text(record_id: Column, kind: Column, url: Column, block: Column, pay
     )
 
 
-def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, archive_bytes: int = 16 << 20) -> int:
-    """Writes a record for every row to archives of about archive_bytes in the folder path; returns their number.
+def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, archive_bytes: int = 16 << 20) -> None:
+    """Writes a record for every row to archives in the folder path, with as many records each as have archive_bytes on average.
 
     Spark writes them, so path can be in any store it knows. See with_revisits for which rows are revisits.
     """
@@ -83,10 +82,10 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     page = F.col("page").cast("string")
     block = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("payload")))
     text = record_text(F.coalesce(page, F.expr("uuid()")), kind, F.col("url"), block, F.col("_digest"), F.when(revisit, F.col("_first").cast("string")), page)
-    total = pages.agg(F.sum(F.coalesce(F.octet_length(payload_col), F.lit(0)) + 600)).first()[0] or 0
-    n = max(1, math.ceil(total / archive_bytes))
-    rows.select(text.alias("value"), F.xxhash64("page", "_digest").alias("h")).repartition(n, "h").select("value").write.option("lineSep", END).text(path)
-    return n
+    # Each task of the join writes archives, none of more than so many records; payloads are exchanged once.
+    seen = pages.agg(F.avg(F.coalesce(F.octet_length(payload_col), F.lit(0)))).first()[0] or 0
+    most = max(1, int(archive_bytes / (seen + 600)))
+    rows.select(text.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).text(path)
 
 
 def candidates(content: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, int]]:
