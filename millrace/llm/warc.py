@@ -8,6 +8,7 @@ reaches, doubling the jump each time, and only those are records.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -65,8 +66,9 @@ def record_text(record_id: Column, kind: Column, url: Column, block: Column, pay
     )
 
 
-def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, archive_bytes: int = 16 << 20) -> None:
-    """Writes a record for every row to archives in the folder path, with as many records each as have archive_bytes on average.
+def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, archive_bytes: int = 16 << 20, compression: str = "gzip") -> None:
+    """Writes a record for every row to archives in the folder path, with as many records each as have archive_bytes on average,
+    compressed as a whole ('none': not).
 
     Spark writes them, so path can be in any store it knows. See with_revisits for which rows are revisits.
     """
@@ -85,7 +87,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     # Each task of the join writes archives, none of more than so many records; payloads are exchanged once.
     seen = pages.agg(F.avg(F.coalesce(F.octet_length(payload_col), F.lit(0)))).first()[0] or 0
     most = max(1, int(archive_bytes / (seen + 600)))
-    rows.select(text.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).text(path)
+    rows.select(text.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", compression).text(path)
 
 
 def candidates(content: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, int]]:
@@ -126,7 +128,7 @@ def _fields(header: bytes) -> dict[str, str]:
 def read_archives(spark: SparkSession, path: str, *, ranges: int = 4) -> DataFrame:
     """The records of the archives in a folder: file, offset, type, record_id, refers_to, page, payload_bytes, payload_digest, claimed_digest.
 
-    payload_bytes and payload_digest are of the payload found (after the HTTP head); a revisit has none (null). An archive is read whole,
+    Offsets are those in the archive without its compression. payload_bytes and payload_digest are of the payload found (after the HTTP head); a revisit has none (null). An archive is read whole,
     so archives should be of bounded size; each is searched in overlapping ranges. Bytes that the chain doesn't reach are no records.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
@@ -134,6 +136,7 @@ def read_archives(spark: SparkSession, path: str, *, ranges: int = 4) -> DataFra
 
     def parse(batches):
         for file, content in arrow_rows(batches, "path", "content"):
+            content = gzip.decompress(content) if file.endswith(".gz") else content
             step = max(1, -(-len(content) // ranges))
             found = np.array([c for a in range(0, len(content), step) for c in candidates(content, a, min(a + step, len(content)))], np.int64).reshape(-1, 3)
             keep = reachable(found[:, 0], found[:, 2], len(content)) & (found[:, 2] <= len(content))
