@@ -9,7 +9,9 @@ is pure twice. Where cells remain, the pair is retried with a larger sketch.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import contextlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import n_partitions, staged
@@ -59,7 +61,8 @@ def peel_differences(pairs: DataFrame, left: str, right: str, *, keys: list[str]
     """
     todo, done, paths = pairs.select(*keys, left, right), None, []
     for attempt in range(attempts):
-        at, path = staged(_peeled(todo, left, right, keys, attempt), "peeled")
+        with _plain_maps(pairs.sparkSession):
+            at, path = staged(_peeled(todo, left, right, keys, attempt), "peeled")
         paths.append(path)
         ok = at.where("not failed").drop("failed")
         done = ok if done is None else done.unionByName(ok)
@@ -71,6 +74,18 @@ def peel_differences(pairs: DataFrame, left: str, right: str, *, keys: list[str]
     return done.unionByName(rest), paths
 
 
+@contextlib.contextmanager
+def _plain_maps(spark: SparkSession):
+    """Without the first-level hash maps of partial aggregates: each takes a page of memory when its task begins, and peeling has many in one stage."""
+    name = "spark.sql.codegen.aggregate.map.twolevel.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _peeled(pairs: DataFrame, left: str, right: str, keys: list[str], seed: int) -> DataFrame:
     width = F.greatest(F.lit(8), F.ceil((F.size(left) + F.size(right)) * 0.5)).cast("long") * F.lit(2**seed).cast("long")
 
