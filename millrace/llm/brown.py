@@ -9,6 +9,7 @@ clustering's tables have a fixed size, whatever the corpus. Word counts are exac
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable
@@ -96,6 +97,7 @@ def exchange(u: np.ndarray, v: np.ndarray, n: np.ndarray, units: int, classes: i
 
 @dataclass(frozen=True)
 class BrownModel:
+    name: str  # unique
     units: dict[bytes, int]  # the frequent words' units
     groups: int
     cls: np.ndarray  # class by unit
@@ -193,7 +195,7 @@ def fit(docs: DataFrame, train: Callable[[Column], Column], *, id_col: str = "do
     # A word never seen takes the discounted mass of its class, or of all words.
     unknown = mix * step * np.maximum(mass, 1e-9) + (1 - mix) * max(discount * distinct / max(total, 1), 1e-9)
     held = docs.sparkSession.sparkContext.broadcast((b"\n".join(words), n_of))
-    return BrownModel(units, groups, cls, np.log10(known), np.log10(unknown), discount, total, distinct, held, int(n_of[-1]) if len(words) < distinct else 0, counts)
+    return BrownModel(uuid.uuid4().hex, units, groups, cls, np.log10(known), np.log10(unknown), discount, total, distinct, held, int(n_of[-1]) if len(words) < distinct else 0, counts)
 
 
 def _counted(seen: Counter):
@@ -220,12 +222,11 @@ _UNPACKED: dict = {}
 
 
 def _frequent(model: BrownModel) -> tuple[dict[bytes, int], np.ndarray]:
-    at = model.kept.id if hasattr(model.kept, "id") else id(model.kept)
-    if at not in _UNPACKED:
+    if model.name not in _UNPACKED:
         words, counts = model.kept.value
         _UNPACKED.clear()
-        _UNPACKED[at] = ({w: i for i, w in enumerate(words.split(b"\n"))} if len(counts) else {}, counts.astype(float))
-    return _UNPACKED[at]
+        _UNPACKED[model.name] = ({w: i for i, w in enumerate(words.split(b"\n"))} if len(counts) else {}, counts.astype(float))
+    return _UNPACKED[model.name]
 
 
 def score(docs: DataFrame, model: BrownModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

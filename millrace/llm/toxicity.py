@@ -129,9 +129,9 @@ def fit(
         for text, y in arrow_rows(batches, "text", "y"):
             by[y].update(text_features(text))
             n[y] += 1
+        # The mark "" has the numbers of rows.
         names = sorted(by[0].keys() | by[1].keys())
-        yield pa.RecordBatch.from_pydict({"f": names, "neg": [by[0][f] for f in names], "pos": [by[1][f] for f in names]})
-        yield pa.RecordBatch.from_pydict({"f": [""], "neg": [n[0]], "pos": [n[1]]})
+        yield pa.RecordBatch.from_pydict({"f": ["", *names], "neg": [n[0], *(by[0][f] for f in names)], "pos": [n[1], *(by[1][f] for f in names)]})
 
     counted = sample.mapInArrow(counts, "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).persist()
     total = counted.where("f = ''").first()
