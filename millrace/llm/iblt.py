@@ -20,6 +20,8 @@ from millrace.llm.common import n_partitions, staged
 PARAGRAPH = r"[^\n.!?]{1,96}+[\n.!?\s]*+"
 #: Cells of each of the three rows of the fingerprint that is kept with a document.
 KEPT = 4
+#: Up to so many keys of pairs to retry are broadcast.
+FEW = 500_000
 #: Names of a cell that isn't one: where digests peeled from either side are counted.
 _PLUS, _MINUS = -1, -2
 
@@ -52,24 +54,30 @@ def fingerprint(keys: Column, width: int = KEPT) -> Column:
     return F.concat_ws(":", F.hex(F.size(keys).cast("long")), *rows)
 
 
-def peel_differences(pairs: DataFrame, left: str, right: str, *, keys: list[str], attempts: int = 6) -> tuple[DataFrame, list[str]]:
+def peel_differences(pairs: DataFrame, left: str, right: str, *, keys: list[str], attempts: int = 6, per_task: int = 250_000) -> tuple[DataFrame, list[str]]:
     """keys with n_left, n_right: how many digests only the left or the right array of a row has, as their sketches tell; staged paths.
 
     Arrays hold distinct digests and aren't null; keys name a row, and the first of them deals rows out. A sketch has half as many
-    cells again as both sides have digests, at least 24; every retry doubles that and hashes anew. A pair left after all attempts
+    cells again as both sides have digests, at least 24; every retry doubles that and hashes anew. per_task: about how many digests a
+    task holds in its cells, of some 150 bytes each. A pair left after all attempts
     (none is expected) is settled by comparing the arrays.
     """
     todo, done, paths = pairs.select(*keys, left, right), None, []
+    total = todo.agg(F.sum(F.size(left) + F.size(right))).first()[0] or 0
+    tasks = max(n_partitions(pairs.sparkSession), -(-total // per_task))
     for attempt in range(attempts):
         with _plain_maps(pairs.sparkSession):
-            at, path = staged(_peeled(todo, left, right, keys, attempt), "peeled")
+            at, path = staged(_peeled(todo, left, right, keys, attempt, tasks), "peeled")
         paths.append(path)
         ok = at.where("not failed").drop("failed")
         done = ok if done is None else done.unionByName(ok)
         failed = at.where("failed").select(*keys)
-        if not failed.limit(1).count():
+        left_over = failed.count()
+        if not left_over:
             return done, paths
-        todo = pairs.select(*keys, left, right).join(failed, keys, "left_semi")
+        # Keys alone are sent to all workers while they are few; beyond that both sides are exchanged.
+        todo, path = staged(todo.join(F.broadcast(failed) if left_over <= FEW else failed, keys, "left_semi"), "failed")
+        paths.append(path)
     rest = todo.select(*keys, F.size(F.array_except(left, right)).cast("long").alias("n_left"), F.size(F.array_except(right, left)).cast("long").alias("n_right"))
     return done.unionByName(rest), paths
 
@@ -86,7 +94,7 @@ def _plain_maps(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def _peeled(pairs: DataFrame, left: str, right: str, keys: list[str], seed: int) -> DataFrame:
+def _peeled(pairs: DataFrame, left: str, right: str, keys: list[str], seed: int, tasks: int) -> DataFrame:
     width = F.greatest(F.lit(8), F.ceil((F.size(left) + F.size(right)) * 0.5)).cast("long") * F.lit(2**seed).cast("long")
 
     def signed(column: str, sign: int) -> Column:
@@ -94,7 +102,7 @@ def _peeled(pairs: DataFrame, left: str, right: str, keys: list[str], seed: int)
 
     sides = [signed(left, 1), signed(right, -1)]
     # Rows are dealt out once, by key; everything below stays in that partitioning.
-    rows = pairs.repartition(n_partitions(pairs.sparkSession), keys[0]).select(*keys, width.alias("width"), F.explode(F.concat(*sides, F.array(F.struct(F.lit(0).cast("long").alias("key"), F.lit(0).alias("n"))))).alias("e"))
+    rows = pairs.repartition(tasks, keys[0]).select(*keys, width.alias("width"), F.explode(F.concat(*sides, F.array(F.struct(F.lit(0).cast("long").alias("key"), F.lit(0).alias("n"))))).alias("e"))
     rows = rows.select(*keys, "width", F.col("e.key").alias("key"), F.col("e.n").cast("long").alias("n"))
     # A pair with nothing on either side keeps a row of its own: the mark with n = 0.
     spots = F.when(F.col("n") == 0, F.array(F.lit(_PLUS).cast("long"))).otherwise(F.array(*(_slot(F.col("key"), r, F.col("width"), seed) for r in range(3))))

@@ -51,7 +51,7 @@ def test_equal_texts_have_equal_fingerprints(spark):
 
 def test_no_exchange_while_peeling(spark):
     pairs = spark.createDataFrame([(1, [1], [2])], "k bigint, l array<bigint>, r array<bigint>")
-    plan = iblt._peeled(pairs, "l", "r", ["k"], 0)._jdf.queryExecution().executedPlan().toString()
+    plan = iblt._peeled(pairs, "l", "r", ["k"], 0, 4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Python" not in plan and "Arrow" not in plan
 
 
