@@ -183,5 +183,11 @@ class PipelineGraph:
         lines += ["", "Sink-rank (priority ordering):", *(f"  {self._tasks[i].name:<15} rank={ranks[i]}" for i in self.ranked_nodes())]
         return "\n".join(lines) + "\n"
 
+    def write_summary(self, to) -> None:
+        to.write(self.summary())
+
+    def print_summary(self) -> None:
+        print(self.summary(), end="")
+
     def __repr__(self) -> str:
         return f"Pipeline({self.task_count} tasks, {len(self._edges)} edges, {len(self.source_tasks())} source, {len(self.sink_tasks())} sink)"
