@@ -68,3 +68,20 @@ def arrow_kind(df: DataFrame, name: str) -> tuple[pa.DataType, str]:
     """Arrow's and Spark's type of a column."""
     kind = df.schema[name].dataType
     return to_arrow_type(kind), kind.simpleString()
+
+
+def most_frequent(df: DataFrame, count: str, most: int) -> tuple[pa.Table, int]:
+    """The rows whose count is at least a threshold, the smallest that at most `most` rows reach, and the threshold.
+
+    The threshold comes from how many rows have each count, so no task orders all rows. A table of the numbers of distinct counts,
+    which grow as the root of their sum, and at most `most` rows come to the driver.
+    """
+    have = df.groupBy(count).agg(F.count(F.lit(1)).alias("rows")).toArrow().sort_by([(count, "descending")])
+    total, threshold = 0, None
+    for n, rows in zip(have.column(count).to_pylist(), have.column("rows").to_pylist(), strict=True):
+        if total + rows > most:
+            break
+        total, threshold = total + rows, n
+    if threshold is None:
+        return df.limit(0).toArrow(), (have.column(count)[0].as_py() + 1 if have.num_rows else 1)
+    return df.where(F.col(count) >= threshold).toArrow(), threshold

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_rows, n_partitions, staged, unstage
+from millrace.llm.common import arrow_rows, most_frequent, n_partitions, staged, unstage
 from millrace.llm.components import components
 
 #: Odd multipliers, one for each place of a word in a shingle.
@@ -69,8 +69,11 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def divide_skip(lists: list[list[int]], t: int, mu: float = 0.5) -> Iterator[int]:
-    """The values that occur in at least t of the sorted lists, each list holding a value once."""
+def divide_skip(lists: list[list[int]], t: int, mu: float = 0.01) -> Iterator[int]:
+    """The values that occur in at least t of the sorted lists, each list holding a value once.
+
+    mu weighs merging against probing: the smaller, the more lists are probed. Bisecting costs little beside the heap here.
+    """
     if len(lists) < t:
         return
     lists = sorted(lists, key=len)
@@ -148,13 +151,13 @@ def search(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> list[t
 
 def jaccard_components(
     docs: DataFrame, *, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text",
-    need: int = 3, hot: int = 1 << 18, hot_count: int = 16, long_list: int = 256, group: int = 4096,
+    need: int = 3, hot: int = 1 << 18, hot_count: int = 16, long_list: int = 256, group: int = 4096, group_shingles: int = 2_000_000,
 ) -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id that links reach, itself included) for every row.
 
     Documents link when den * |intersection| >= num * |union| of their shingle sets. need: m above. hot: how many frequent shingles
     workers know, at most; hot_count: from which count. They order shingles and so bear on the cost alone, as do long_list (where lists
-    join members to one of them) and group (where a component is searched in pairs of blocks).
+    join members to one of them), group and group_shingles (above which sets or shingles a component is searched in pairs of blocks).
 
     Null and white texts have an empty set, link with nothing and keep their own id. A row with a null id takes part in no link: its
     component is that of equal texts with an id, else null. Rows with one id and unlike texts each keep their own set; the id links
@@ -183,7 +186,7 @@ def jaccard_components(
     least = next((u - 1 for u in range(2, 10_000) if den * (u - 1) >= num * u), None)
     links, paths = None, [p_profile, p_classes]
     if least is not None:
-        links, more = _links(texts, all_rows, classes, words, num, den, least, need, hot, hot_count, long_list, group)
+        links, more = _links(texts, all_rows, classes, words, num, den, least, need, hot, hot_count, long_list, group, group_shingles)
         paths += more
     reps = classes.select("digest", "rep")
     if links is not None:
@@ -202,10 +205,12 @@ def _profiled(rows: list[tuple], held: list[np.ndarray]):
     yield pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.int64()), pa.array(counts, pa.int64()), pa.nulls(len(values), pa.binary()), pa.array(values)], ["id", "n", "digest", "token"])
 
 
-def _links(texts, all_rows, classes, words, num, den, least, need, hot, hot_count, long_list, group):
+def _links(texts, all_rows, classes, words, num, den, least, need, hot, hot_count, long_list, group, group_shingles):
     spark = texts.sparkSession
     # At most `hot` pairs of numbers.
-    top = all_rows.where("token is not null").groupBy("token").agg(F.sum("n").alias("c")).where(F.col("c") >= hot_count).orderBy(F.desc("c"), "token").limit(hot).toArrow()
+    often, p_often = staged(all_rows.where("token is not null").groupBy("token").agg(F.sum("n").alias("c")).where(F.col("c") >= hot_count), "often")
+    top, _ = most_frequent(often, "c", hot)
+    unstage(spark, p_often)
     tokens, counts = top.column("token").to_numpy(), top.column("c").to_numpy()
     order = np.argsort(tokens)
     known = spark.sparkContext.broadcast((tokens[order], counts[order]))
@@ -247,7 +252,10 @@ def _links(texts, all_rows, classes, words, num, den, least, need, hot, hot_coun
     candidates, p_candidates = components(shared.union(stars))
     unstage(spark, p_lists)
     nodes = candidates.union(candidates.select("b", "b").distinct()).toDF("id", "comp")
-    sizes = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.when(F.col("size") > group, F.ceil(F.col("size") * 2 / group)).otherwise(1))
+    # Of how many times the bound a component is.
+    shingles = classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n"))
+    times = F.greatest(F.count(F.lit(1)) / group, F.sum("n") / group_shingles)
+    sizes = nodes.join(shingles, "id").groupBy("comp").agg(times.alias("times")).select("comp", F.when(F.col("times") > 1, F.ceil(F.col("times") * 2)).otherwise(1).alias("blocks"))
     mine = (F.abs(F.xxhash64("id")) % F.col("blocks")).alias("mine")
     spread = nodes.join(sizes, "comp").select("id", "comp", "blocks", mine).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("id", "comp", "blocks", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"))
