@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_kind, arrow_rows, staged
+from millrace.llm.common import arrow_kind, arrow_rows, most_frequent, staged
 
 #: What ends every text; white space keeps it apart from any word.
 END = b" "
@@ -135,23 +135,15 @@ def fit(docs: DataFrame, train: Callable[[Column], Column], *, id_col: str = "do
     total, distinct, n1, n2 = (int(x or 0) for x in one)
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     # At most `kept` words of at most 64 bytes.
-    top = counts.orderBy(F.desc("n"), "word").limit(kept).toArrow()
+    top, least = most_frequent(counts, "n", kept)
+    top = top.sort_by([("n", "descending"), ("word", "ascending")])
     words, n_of = top.column("word").to_pylist(), top.column("n").to_numpy()
-    units = {w: i for i, w in enumerate(words[:head])}
+    units = {bytes(r.word): i for i, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(head).collect())}
     units.setdefault(END, len(units))
 
     def pairs(batches):
-        n_units, cache, grams = len(units) + groups, {}, np.zeros(0, np.int64)
-        sums: dict[int, int] = {}
-        held: list[np.ndarray] = []
-
-        def flush():
-            keys, n = np.unique(np.concatenate(held or [grams]), return_counts=True)
-            held.clear()
-            for k, c in zip(keys.tolist(), n.tolist(), strict=True):
-                sums[k] = sums.get(k, 0) + c
-
-        size = 0
+        n_units, cache = len(units) + groups, {}
+        keys, sums, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
         for (text,) in arrow_rows(batches, "text"):
             words = tokens(text)
             seq = np.empty(len(words) + 1, np.int64)
@@ -160,11 +152,10 @@ def fit(docs: DataFrame, train: Callable[[Column], Column], *, id_col: str = "do
             held.append(seq[:-1] * n_units + seq[1:])
             size += len(words)
             if size > 2_000_000:
-                flush()
-                size = 0
-        flush()
-        keys = np.fromiter(sums.keys(), np.int64, len(sums))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(sums.values(), np.int64, len(sums)))], ["k", "n"])
+                keys, sums = _added(keys, sums, held)
+                held, size = [], 0
+        keys, sums = _added(keys, sums, held)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["k", "n"])
 
     n_units = len(units) + groups
     # At most n_units^2 cells, whatever the corpus.
@@ -195,7 +186,14 @@ def fit(docs: DataFrame, train: Callable[[Column], Column], *, id_col: str = "do
     # A word never seen takes the discounted mass of its class, or of all words.
     unknown = mix * step * np.maximum(mass, 1e-9) + (1 - mix) * max(discount * distinct / max(total, 1), 1e-9)
     held = docs.sparkSession.sparkContext.broadcast((b"\n".join(words), n_of))
-    return BrownModel(uuid.uuid4().hex, units, groups, cls, np.log10(known), np.log10(unknown), discount, total, distinct, held, int(n_of[-1]) if len(words) < distinct else 0, counts)
+    return BrownModel(uuid.uuid4().hex, units, groups, cls, np.log10(known), np.log10(unknown), discount, total, distinct, held, least - 1 if len(words) < distinct else 0, counts)
+
+
+def _added(keys: np.ndarray, sums: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their sums with one more for each of the further keys."""
+    new, n = np.unique(np.concatenate([np.zeros(0, np.int64), *more]), return_counts=True)
+    out, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+    return out, np.bincount(at, np.concatenate([sums, n]), len(out)).astype(np.int64)
 
 
 def _counted(seen: Counter):
