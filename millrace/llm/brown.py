@@ -208,7 +208,7 @@ def _units(words: list[bytes], cache: dict[bytes, int], units: dict[bytes, int],
     for w in words:
         x = cache.get(w)
         if x is None:
-            if len(cache) > 400_000:
+            if len(cache) > 150_000:
                 cache.clear()
             x = cache[w] = unit_of(w, units, groups)
         out.append(x)
