@@ -183,8 +183,8 @@ def fit(docs: DataFrame, train: Callable[[Column], Column], *, id_col: str = "do
     step = (m + strength * spread) / (m.sum(1, keepdims=True) + strength)
     mass = np.where(tokens_of > 0, discount * types / np.maximum(tokens_of, 1), 1.0)
     known = mix * step / np.maximum(tokens_of, 1) + (1 - mix) / max(total, 1)
-    # A word never seen takes the discounted mass of its class, or of all words.
-    unknown = mix * step * np.maximum(mass, 1e-9) + (1 - mix) * max(discount * distinct / max(total, 1), 1e-9)
+    # A word never seen takes the discounted mass of its class; over all classes that is what the known words leave.
+    unknown = mix * step * mass + (1 - mix) * discount * types / max(total, 1)
     held = docs.sparkSession.sparkContext.broadcast((b"\n".join(words), n_of))
     return BrownModel(uuid.uuid4().hex, units, groups, cls, np.log10(known), np.log10(unknown), discount, total, distinct, held, least - 1 if len(words) < distinct else 0, counts)
 
