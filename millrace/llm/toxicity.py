@@ -1,6 +1,6 @@
 """Toxicity by a counterfactually regularised classifier.
 
-A logistic model over words and word beginnings is fitted to labelled documents. For every labelled sentence that names a group
+A logistic model over words and word beginnings, each marked where it stands once, twice and more, is fitted to labelled documents. For every labelled sentence that names a group
 of people, the name is swapped for the others of its kind, and the squared change of the score is added to the loss, so that
 neutral mentions of a group move no score.
 """
@@ -37,7 +37,15 @@ def word_features(word: str) -> list[str]:
 
 
 def text_features(text: str | None) -> set[str]:
-    return {f for w in set(WORD.findall((text or "").lower())) for f in word_features(w)}
+    """The features of a text's words, and beside each, "2" and "3" before it where it occurs so often at least.
+
+    Names of groups count once, so that a swap in any sentence shows all that they add.
+    """
+    seen: Counter = Counter()
+    for w, n in Counter(WORD.findall((text or "").lower())).items():
+        for f in word_features(w):
+            seen[f] += 1 if w in _SWAP else n
+    return seen.keys() | {f"{k}{f}" for f, n in seen.items() for k in (2, 3) if n >= k}
 
 
 @dataclass(frozen=True)
@@ -48,21 +56,22 @@ class ToxicityModel:
     def scorer(self):
         """A function from text (null: empty) to a probability."""
         weights, bias, known = self.weights, self.bias, {}
-        index = {f: i for i, f in enumerate(weights)}
-        values = list(weights.values())
+        index = {f: i for i, f in enumerate(sorted({f.lstrip("23") for f in weights}))}
+        # What a feature adds once, twice, and three times or more.
+        values = [[sum(weights.get(mark + f, 0.0) for mark in ("", "2", "3")[:k]) for k in range(4)] for f in index]
 
         def score(text: str | None) -> float:
-            found: set[int] = set()
-            for w in set(WORD.findall((text or "").lower())):
+            found: Counter = Counter()
+            for w, n in Counter(WORD.findall((text or "").lower())).items():
                 at = known.get(w)
                 if at is None:
                     at = tuple(index[f] for f in word_features(w) if f in index)
                     if len(known) > 200_000:
                         known.clear()
                     known[w] = at
-                if at:
-                    found.update(at)
-            z = bias + sum(values[i] for i in sorted(found))
+                for i in at:
+                    found[i] += 1 if w in _SWAP else n
+            z = bias + sum(values[i][min(found[i], 3)] for i in sorted(found))
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
         return score
@@ -105,7 +114,7 @@ def _fit(rows: list[tuple[int, list[int]]], pairs: list[tuple[list[int], list[in
 
 def fit(
     docs: DataFrame, labels: DataFrame, train: Callable[[Column], Column], *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_rows: int = 8000, max_features: int = 4096, pairs_per_document: int = 8, l2: float = 2e-4, fairness: float = 1.0, steps: int = 300, least_strength: float = 20.0,
+    max_rows: int = 8000, max_features: int = 4096, pairs_per_document: int = 8, l2: float = 5e-5, fairness: float = 1.0, steps: int = 300, least_strength: float = 20.0,
 ) -> ToxicityModel:
     """Fits the classifier on at most `max_rows` labelled documents, taken in the order of a hash of their ids.
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -71,3 +72,21 @@ def test_without_labels(spark):
     docs, labels = corpus(spark, 40)
     model = toxicity.fit(docs, labels.where("toxic = 0"), lambda i: F.lit(True))
     assert model.scorer()("anything") < 0.5
+
+
+def test_features_count_up_to_three():
+    got = toxicity.text_features("scum Scum scum scummy women women")
+    assert {"w:scum", "2w:scum", "3w:scum", "w:scummy", "w:women"} <= got
+    assert not {"2w:scummy", "2w:women", "4w:scum"} & got
+    assert toxicity.text_features(None) == set()
+
+
+def test_the_scorer_adds_up_the_features():
+    rng = random.Random(5)
+    words = ["scum", "scummy", "women", "woman", "men", "plain", "plainly", "so"]
+    weights = {f"{k}{f}": rng.uniform(-1, 1) for w in words for f in toxicity.word_features(w) for k in ("", "2", "3")}
+    one = toxicity.ToxicityModel(weights, -0.3).scorer()
+    for _ in range(50):
+        text = " ".join(rng.choices(words, k=rng.randint(0, 12)))
+        z = -0.3 + sum(weights.get(f, 0.0) for f in toxicity.text_features(text))
+        assert abs(one(text) - 1 / (1 + math.exp(-z))) < 1e-12
