@@ -28,8 +28,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + END
 LENGTH = re.compile(rb"^content-length[ \t]*:[ \t]*(\d+)[ \t]*\r?$", re.I | re.M)
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: A header longer than this is none.
-MOST_HEADER = 1 << 16
+#: A length of more digits is none.
+MOST_DIGITS = 18
 
 
 def payload_digest(payload: bytes) -> str:
@@ -88,19 +88,29 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     block = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("payload")))
     text = record_text(F.coalesce(page, F.expr("uuid()")), kind, F.col("url"), block, F.col("_digest"), F.when(revisit, F.col("_first").cast("string")), page)
     # Each task of the join writes archives, none of more than so many records; payloads are exchanged once.
-    seen = pages.agg(F.avg(F.coalesce(F.octet_length(payload_col), F.lit(0)))).first()[0] or 0
+    size = lambda c: F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    seen = pages.agg(F.avg(size(payload_col) + size(url_col))).first()[0] or 0
     most = max(1, int(archive_bytes / (seen + 600)))
     rows.select(text.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def candidates(content: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, int]]:
-    """(offset, where its block begins, successor) for every magic line in [start, end); offsets of no header's sort are left out."""
+    """(offset, where its block begins, successor) for every magic line in [start, end); offsets of no header's sort are left out.
+
+    Headers may have any length. Their ends and lengths found last are kept until passed, so that the bytes are searched once only.
+    """
+    head, length = start - 1, LENGTH.search(content, start)
     at = content.find(MAGIC, start, None if end is None else end + len(MAGIC) - 1)
     while at >= 0:
-        head = content.find(b"\r\n\r\n", at, at + MOST_HEADER)
-        if head >= 0 and (m := LENGTH.search(content, at, head + 2)):
+        if head < at and (head := content.find(b"\r\n\r\n", at)) < 0:
+            return
+        if length and length.start() < at:
+            length = LENGTH.search(content, at)
+        if not length:
+            return
+        if length.end() <= head + 2 and len(length[1]) <= MOST_DIGITS:
             block = head + 4
-            yield at, block, block + int(m[1]) + 4
+            yield at, block, block + int(length[1]) + 4
         at = content.find(MAGIC, at + 1, None if end is None else end + len(MAGIC) - 1)
 
 
@@ -132,7 +142,8 @@ def read_archives(spark: SparkSession, path: str, *, ranges: int = 4) -> DataFra
     """The records of the archives in a folder: file, offset, type, record_id, refers_to, page, payload_bytes, payload_digest, claimed_digest.
 
     Offsets are those in the archive without its compression. payload_bytes and payload_digest are of the payload found (after the HTTP head); a revisit has none (null). An archive is read whole,
-    so archives should be of bounded size; each is searched in overlapping ranges. Bytes that the chain doesn't reach are no records.
+    so archives should be of bounded size; each is searched in overlapping ranges. Bytes that the chain doesn't reach are no records;
+    a chain that ends before its archive does is an error, as records would be missing.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("page", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("claimed_digest", pa.string())])
@@ -143,6 +154,9 @@ def read_archives(spark: SparkSession, path: str, *, ranges: int = 4) -> DataFra
             step = max(1, -(-len(content) // ranges))
             found = np.array([c for a in range(0, len(content), step) for c in candidates(content, a, min(a + step, len(content)))], np.int64).reshape(-1, 3)
             keep = reachable(found[:, 0], found[:, 2], len(content)) & (found[:, 2] <= len(content))
+            ends = int(found[keep, 2].max(initial=0))
+            if ends != len(content):
+                raise ValueError(f"{file}: the chain of records ends at byte {ends} of {len(content)}")
             rows = []
             for at, block, end in found[keep].tolist():
                 f = _fields(content[at : block - 4])

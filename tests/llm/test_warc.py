@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from millrace.llm import warc
 
@@ -72,3 +73,21 @@ def test_archives_of_bounded_size(spark, tmp_path):
         records = warc.read_archives(spark, path)
         assert records.count() == 60 and records.select("file").distinct().count() > 5
         assert records.where("payload_digest = claimed_digest").count() == 60
+
+
+def test_headers_of_any_length(spark):
+    rows = [(i, f"http://{i}", f"page {i}") for i in range(6)] + [(6, "data:" + "a" * 200_000, "long"), (7, "u", "long"), (8, "u" * 70_000, EVIL)] + [(i, "u", f"page {i}") for i in range(9, 20)]
+    got = warc.round_trip(pages(spark, rows).coalesce(1)).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == expected(rows)
+
+
+def test_many_magic_lines_are_searched_once():
+    content = record(warc.MAGIC * 200_000) + record(b"WARC/1.1\r\nContent-Length: " + b"9" * 5000 + b"\r\n\r\n")
+    found = np.array(list(warc.candidates(content)), np.int64)
+    assert warc.reachable(found[:, 0], found[:, 2], len(content)).sum() == 2
+
+
+def test_missing_records_are_an_error(spark, tmp_path):
+    (tmp_path / "part-0").write_bytes(record(b"one") + record(b"two")[:-6] + b"?" * 9 + record(b"three"))
+    with pytest.raises(Exception, match="chain of records ends"):
+        warc.read_archives(spark, str(tmp_path)).collect()
