@@ -22,6 +22,8 @@ from millrace.llm.common import arrow_rows, staged, staged_path
 
 #: Fixed values of the format.
 MAGIC = b"WARC/1.1\r\n"
+#: What is read: the magic lines' common beginning and their ends.
+MAGIC_HEAD, MAGIC_ENDS = b"WARC/1.", (b"0\r\n", b"1\r\n")
 CRLF = "\r\n"
 END = CRLF + CRLF
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -100,8 +102,10 @@ def candidates(content: bytes, start: int = 0, end: int | None = None) -> Iterat
     Headers may have any length. Their ends and lengths found last are kept until passed, so that the bytes are searched once only.
     """
     head, length = start - 1, LENGTH.search(content, start)
-    at = content.find(MAGIC, start, None if end is None else end + len(MAGIC) - 1)
-    while at >= 0:
+    at, until = start - 1, None if end is None else end + len(MAGIC_HEAD) - 1
+    while (at := content.find(MAGIC_HEAD, at + 1, until)) >= 0:
+        if content[at + len(MAGIC_HEAD) : at + len(MAGIC)] not in MAGIC_ENDS:
+            continue
         if head < at and (head := content.find(b"\r\n\r\n", at)) < 0:
             return
         if length and length.start() < at:
@@ -111,7 +115,6 @@ def candidates(content: bytes, start: int = 0, end: int | None = None) -> Iterat
         if length.end() <= head + 2 and len(length[1]) <= MOST_DIGITS:
             block = head + 4
             yield at, block, block + int(length[1]) + 4
-        at = content.find(MAGIC, at + 1, None if end is None else end + len(MAGIC) - 1)
 
 
 def reachable(offsets: np.ndarray, successors: np.ndarray, size: int) -> np.ndarray:
@@ -138,14 +141,14 @@ def _fields(header: bytes) -> dict[str, str]:
     return out
 
 
-def read_archives(spark: SparkSession, path: str, *, ranges: int = 4) -> DataFrame:
-    """The records of the archives in a folder: file, offset, type, record_id, refers_to, page, payload_bytes, payload_digest, claimed_digest.
+def read_archives(spark: SparkSession, path: str, *, ranges: int = 4, glob: str = "*") -> DataFrame:
+    """The records of the archives in a folder (all its data files, or those whose names match glob; WARC/1.0 and WARC/1.1): file, offset, type, record_id, refers_to, page, payload_bytes, payload_digest, claimed_digest.
 
     Offsets are those in the archive without its compression. payload_bytes and payload_digest are of the payload found (after the HTTP head); a revisit has none (null). An archive is read whole,
     so archives should be of bounded size; each is searched in overlapping ranges. Bytes that the chain doesn't reach are no records;
     a chain that ends before its archive does is an error, as records would be missing.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
     schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("page", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("claimed_digest", pa.string())])
 
     def parse(batches):

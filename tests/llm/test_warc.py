@@ -1,3 +1,4 @@
+import gzip
 import random
 
 import numpy as np
@@ -91,3 +92,10 @@ def test_missing_records_are_an_error(spark, tmp_path):
     (tmp_path / "part-0").write_bytes(record(b"one") + record(b"two")[:-6] + b"?" * 9 + record(b"three"))
     with pytest.raises(Exception, match="chain of records ends"):
         warc.read_archives(spark, str(tmp_path)).collect()
+
+
+def test_archives_of_any_name_and_version(spark, tmp_path):
+    (tmp_path / "crawl-1.warc.gz").write_bytes(b"".join(gzip.compress(record(p).replace(b"WARC/1.1", b"WARC/1.0", 1)) for p in (b"one", b"WARC/1.2\r\n", b"three")))
+    (tmp_path / "other.warc").write_bytes(record(b"four"))
+    assert sorted(r.payload_bytes for r in warc.read_archives(spark, str(tmp_path)).collect()) == [3, 4, 5, 10]
+    assert warc.read_archives(spark, str(tmp_path), glob="*.warc.gz").count() == 3
