@@ -8,6 +8,7 @@ different values of a kind different ones; the key's holder can invert it.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import functools
 import hashlib
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Longer runs are permuted in parts.
 PART = 64
+#: Descriptions of longer formats are named by a digest, and pseudonyms of longer values aren't kept.
+MOST_FORMAT, MOST_KEPT = 4096, 256
 
 
 def _mix(key: bytes, tweak: bytes, r: int, x: int) -> int:
@@ -67,12 +70,15 @@ def permute_text(text: str, key: bytes, tweak: bytes, *, hexadecimal: bool = Fal
     alphabets = _alphabets(text, hexadecimal)
     spots = [i for i, a in enumerate(alphabets) if len(a) > 1][keep:]
     chars = list(text)
+    form = "".join(a if len(a) == 1 else str(len(a)) + a[0] for a in alphabets).encode()
+    if len(form) > MOST_FORMAT:
+        form = hashlib.blake2b(form).digest()
     for at in range(0, len(spots), PART):
         part = spots[at : at + PART]
         size = 1
         for i in part:
             size *= len(alphabets[i])
-        shape = b"|".join((tweak, "".join(a if len(a) == 1 else str(len(a)) + a[0] for a in alphabets).encode(), str(at).encode()))
+        shape = b"|".join((tweak, form, str(at).encode()))
         x = 0
         for i in part:
             x = x * len(alphabets[i]) + alphabets[i].index(chars[i])
@@ -141,6 +147,8 @@ def permute_date(text: str, key: bytes, inverse: bool = False) -> str:
 
 
 _EDGE = r"(?<![0-9A-Za-z]){}(?![0-9A-Za-z])"
+#: Kinds of several groups of characters, which may stand beside further numbers or capital words.
+GROUPED = ("iban", "card", "phone")
 #: Kinds in the order in which they claim a span: name, what a text must hold for it, pattern, validation. Numbers that fail theirs stay.
 KINDS = (
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])"), None),
@@ -150,7 +158,7 @@ KINDS = (
     ("card", "", re.compile(_EDGE.format(r"[0-9](?:[ -]?[0-9]){12,18}")), luhn),
     ("ssn", "-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"), ssn),
     ("phone", "", re.compile(r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})|\([0-9]{2,4}\)|[0-9]{3}(?=[ .-][0-9]{3}[ .-][0-9]{4}))(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])"), phone),
-    ("secret", "", re.compile(_EDGE.format(r"(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{20,128}") + "|" + _EDGE.format(r"(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{20,128}")), None),
+    ("secret", "", re.compile(_EDGE.format(r"(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{20,}") + "|" + _EDGE.format(r"(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{20,}")), None),
 )
 
 
@@ -178,17 +186,42 @@ def pseudonym(kind: str, value: str, key: bytes, inverse: bool = False) -> str:
     return permute_text(value, key, tweak, keep=keep, valid=valid, inverse=inverse)
 
 
+def _spans(text: str, kind: str, pattern: re.Pattern, valid, free) -> list[tuple[int, int, str]]:
+    """The spans of a kind, apart and from left to right, that pass their validation and are free.
+
+    Of the spans of groups that begin at one place the longest that passes is taken; if none does, the next place is tried.
+    """
+    out, at = [], 0
+    while m := pattern.search(text, at):
+        a, b = m.span()
+        at = b
+        ends = [b]
+        if kind in GROUPED:
+            at = a + 1
+            ends += [e for e in range(b - 1, a, -1) if not (text[e].isascii() and text[e].isalnum())]
+        for e in ends:
+            if (e == b or pattern.fullmatch(text, a, e)) and (valid is None or valid(text[a:e])) and free(a, e):
+                out.append((a, e, kind))
+                at = e
+                break
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what is replaced, in order and apart."""
     taken: list[tuple[int, int, str]] = []
     for kind, sign, pattern, valid in KINDS:
         if sign and sign not in text:
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if (valid is None or valid(m[0])) and not any(a < y and x < b for x, y, _ in taken):
-                taken.append((a, b, kind))
-    return sorted(taken)
+        starts = [x for x, *_ in taken]
+
+        def free(a, b, taken=taken, starts=starts):
+            # What is taken is apart: only the last that begins before b can reach into a span.
+            i = bisect.bisect_left(starts, b)
+            return not i or taken[i - 1][1] <= a
+
+        taken = sorted(taken + _spans(text, kind, pattern, valid, free))
+    return taken
 
 
 def replace(text: str | None, key: bytes) -> tuple[str | None, list[str]]:
@@ -197,7 +230,7 @@ def replace(text: str | None, key: bytes) -> tuple[str | None, list[str]]:
         return text, []
     found, out, at = find(text), [], 0
     for a, b, kind in found:
-        out += [text[at:a], pseudonym(kind, text[a:b], key)]
+        out += [text[at:a], (pseudonym if b - a <= MOST_KEPT else pseudonym.__wrapped__)(kind, text[a:b], key)]
         at = b
     return "".join([*out, text[at:]]), [k for _, _, k in found]
 

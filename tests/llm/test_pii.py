@@ -64,3 +64,39 @@ def test_documents(spark):
     a, b = (r.text for r in pii.pseudonymise(linked, KEY).orderBy("doc_id").collect())
     assert a.split()[1] == b.split()[1] != "4111111111111111" and b.split()[-1] != "1.2.3.4" and len(b) == len("b 4111111111111111 ") + 200_000 + 7
     assert pii.pseudonymise(cases.empty(spark), KEY).count() == 0
+
+
+@pytest.mark.parametrize(("text", "values"), [
+    ("4111 1111 1111 1111 123", ["4111 1111 1111 1111"]), ("4111111111111111 12/27", ["4111111111111111"]), ("id 7 4111111111111111.", ["4111111111111111"]), ("12 4111-1111-1111-1111 123, 9", ["4111-1111-1111-1111"]),
+    ("BE68539007547034 BIC", ["BE68539007547034"]), ("ES9121000418450200051332 OK", ["ES9121000418450200051332"]), ("NO12 BE68 5390 0754 7034 GB82 WEST 1234 5698 7654 32 AND", ["BE68 5390 0754 7034", "GB82 WEST 1234 5698 7654 32"]),
+    ("4111111111111111 378282246310005 4111111111111111", ["4111111111111111", "378282246310005", "4111111111111111"]), ("4111111111111111 2027-01-02", ["4111111111111111", "2027-01-02"]),
+    ("+44 2079 460 000 1234 5678 9012", ["+44 2079 460 000"]), ("0a" * 100, ["0a" * 100]),
+])
+def test_values_beside_numbers_and_capitals(text, values):
+    text = f"See {text} here"
+    assert [text[a:b] for a, b, _ in pii.find(text)] == values
+    out, kinds = pii.replace(text, KEY)
+    assert len(out) == len(text) and len(kinds) == len(values) and not any(v in out for v in values)
+
+
+def test_spans_against_all_spans():
+    # A card stays in clear text only where another replaced span reaches into it.
+    rng = random.Random(3)
+    for _ in range(300):
+        text = " ".join(rng.choice(["4111111111111111", "4111 1111", "1111", "5", "12", "378282 246310", "005", "x", "7-", "a9", "2"]) for _ in range(12))
+        found = pii.find(text)
+        edges = [i for i in range(len(text) + 1) if (i == 0 or not text[i - 1].isalnum()) or i == len(text) or not text[i].isalnum()]
+        pattern = next(p for k, _, p, _ in pii.KINDS if k == "card")
+        for a in edges:
+            for b in edges:
+                m = pattern.match(text, a) if a < b else None
+                if m and (b == len(text) or not text[b].isalnum()) and pattern.fullmatch(text, a, b) and pii.luhn(text[a:b]):
+                    assert any(x < b and a < y for x, y, _ in found)
+
+
+def test_long_runs_take_time_in_proportion():
+    secret = "0123456789abcdef" * 20_000
+    out, kinds = pii.replace(secret, KEY)
+    assert kinds == ["secret"] and len(out) == len(secret) and pii.pseudonym("secret", out, KEY, True) == secret
+    cards = "4111111111111112 " * 5000 + "4111111111111111 " * 5000
+    assert pii.find(cards)[-1][1] == len(cards) - 1
