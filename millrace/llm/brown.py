@@ -2,13 +2,15 @@
 
 P(word | previous word) = P(class | previous class) P(word | class), mixed with P(word). Classes come from exchange clustering: units
 move, one at a time, to the class that raises the likelihood of the corpus's class bigrams most. The units are the most frequent
-words, one by one, and all other words by groups of like spelling (their last letters), so that every word has a class and the
-clustering's tables have a fixed size, whatever the corpus. Word counts are exact, for all words, and stay a distributed table.
+words, one by one, and all other words by groups of like spelling (their last letters), so that the clustering's tables have a fixed
+size, whatever the corpus. Then every other word of the corpus leaves its group for the class that its own neighbours make likeliest;
+only words never seen keep their group's. Counts and classes are of all words, and stay a distributed table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections import Counter
@@ -17,10 +19,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_kind, arrow_rows, most_frequent, staged
+from millrace.llm.common import arrow_kind, arrow_rows, most_frequent, staged, unstage
 
 #: What ends every text; white space keeps it apart from any word.
 END = b" "
@@ -44,11 +47,11 @@ def unit_of(word: bytes, head: dict[bytes, int], groups: int) -> int:
     return len(head) + zlib.crc32(core[-3:] + b"|" + word[len(core) :][:1]) % groups
 
 
-def exchange(u: np.ndarray, v: np.ndarray, n: np.ndarray, units: int, classes: int, rounds: int) -> np.ndarray:
+def exchange(u: np.ndarray, v: np.ndarray, n: np.ndarray, units: int, classes: int, rounds: int | None) -> np.ndarray:
     """Exchange clustering of units by their bigram counts n of (u, v); returns each unit's class.
 
-    It maximises sum g(N(c, d)) - sum g(N(c, .)) - sum g(N(., c)), g(x) = x log x, moving a unit to the best class until no unit
-    moves or the rounds are over. Units begin in classes by frequency rank.
+    It maximises sum g(N(c, d)) - sum g(N(c, .)) - sum g(N(., c)), g(x) = x log x, moving a unit to the best class until no more
+    than one unit in a thousand moves or the rounds, if any are given, are over. Units begin in classes by frequency rank.
     """
 
     def g(x):
@@ -58,11 +61,13 @@ def exchange(u: np.ndarray, v: np.ndarray, n: np.ndarray, units: int, classes: i
     at_u, at_v = np.searchsorted(u[by_u], np.arange(units + 1)), np.searchsorted(v[by_v], np.arange(units + 1))
     weight = np.bincount(u, n, units) + np.bincount(v, n, units)
     order = np.argsort(-weight, kind="stable")
+    # Less is rounding, and might go round in circles.
+    least = 1e-9 + 1e-12 * g(n.sum())
     cls = np.zeros(units, np.int64)
     cls[order] = np.arange(units) % classes
     m = np.zeros((classes, classes))
     np.add.at(m, (cls[u], cls[v]), n)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         moved = 0
         for x in order:
             if not weight[x]:
@@ -75,7 +80,8 @@ def exchange(u: np.ndarray, v: np.ndarray, n: np.ndarray, units: int, classes: i
             m[a] -= right
             m[:, a] -= left
             m[a, a] -= self_n
-            row, col = m.sum(1), m.sum(0)
+            # The sums of the other rows and columns with x's pairs in them, wherever x goes.
+            row, col = m.sum(1) + left, m.sum(0) + right
             r_all, l_all = right.sum() + self_n, left.sum() + self_n
             # The gain of x in class c: row c gets `right`, column c gets `left`, and the diagonal gets both and x's own pairs.
             gain = (g(m + right) - g(m)).sum(1) + (g(m + left[:, None]) - g(m)).sum(0)
@@ -83,14 +89,14 @@ def exchange(u: np.ndarray, v: np.ndarray, n: np.ndarray, units: int, classes: i
             gain += g(d + right + left + self_n) - g(d + right) - g(d + left) + g(d)
             gain -= g(row + r_all) - g(row) + g(col + l_all) - g(col)
             best = int(np.argmax(gain))
-            if gain[best] <= gain[a] + 1e-9:
+            if gain[best] <= gain[a] + least:
                 best = a
             moved += best != a
             cls[x] = best
             m[best] += right
             m[:, best] += left
             m[best, best] += self_n
-        if not moved:
+        if moved * 1000 <= units:
             break
     return cls
 
@@ -98,24 +104,26 @@ def exchange(u: np.ndarray, v: np.ndarray, n: np.ndarray, units: int, classes: i
 @dataclass(frozen=True)
 class BrownModel:
     name: str  # unique
-    units: dict[bytes, int]  # the frequent words' units
+    units: dict[bytes, int] | None  # the kept words' units, and the end's; None in workers
     groups: int
-    cls: np.ndarray  # class by unit
+    cls: np.ndarray  # class by unit: of the kept words, of the end if it isn't kept, of the groups
+    end: int  # the end's class
     known: np.ndarray  # [previous class, class]: log10 of what a known word's count, less the discount, is multiplied by
     unknown: np.ndarray  # [previous class, class]: log10 probability of an unknown word
     discount: float
     train_tokens: int
     vocabulary: int
-    kept: object  # broadcast: the words whose counts workers hold, joined by line ends, and their counts
+    kept: object  # broadcast: the words whose counts and classes workers hold, joined by line ends, and their counts
     least_kept: int  # other words occur at most so often; 0: there are no others
-    counts: DataFrame | None  # (word, n) of all words
+    counts: DataFrame | None  # (word, n, c) of all words
 
 
-def fit(docs: DataFrame, train: Callable[[Column], Column], *, id_col: str = "doc_id", text_col: str = "text", head: int = 2000, groups: int = 500, kept: int = 1 << 18, classes: int = 48, rounds: int = 4, mix: float = 0.9) -> BrownModel:
-    """Counts all training documents and clusters their words.
+def fit(docs: DataFrame, train: Callable[[Column], Column], *, id_col: str = "doc_id", text_col: str = "text", head: int = 2000, groups: int = 500, kept: int = 1 << 18, classes: int = 48, rounds: int | None = None, mix: float = 0.9) -> BrownModel:
+    """Counts all training documents and clusters all their words.
 
-    head, groups: clustering units (frequent words, spelling groups), which bound the bigram table to (head + groups)^2 cells. kept:
-    frequent words whose counts every worker holds, of at most 64 bytes each; other counts are joined. Both bound memory, not results.
+    head, groups: units of the exchange (frequent words, spelling groups), which bound its bigram table to (head + groups)^2 cells; other
+    words get their classes by their own neighbours, in a distributed table. kept: frequent words whose counts and classes every worker
+    holds, of at most 64 bytes each; those of others are joined. It bounds memory, not results.
     Null texts are empty: an end only. Without training documents the model gives every word one unknown probability.
     """
     corpus = docs.where(train(F.col(id_col))).select(F.col(text_col).alias("text"))
@@ -130,15 +138,14 @@ def fit(docs: DataFrame, train: Callable[[Column], Column], *, id_col: str = "do
         yield from _counted(seen)
 
     # Each task sends a word once for all its texts; sums are added before and after the exchange.
-    counts, _ = staged(corpus.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts, counted = staged(corpus.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     one = counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("n") == 1, 1)), F.sum(F.when(F.col("n") == 2, 1))).first()
     total, distinct, n1, n2 = (int(x or 0) for x in one)
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    # At most `kept` words of at most 64 bytes.
-    top, least = most_frequent(counts, "n", kept)
-    top = top.sort_by([("n", "descending"), ("word", "ascending")])
-    words, n_of = top.column("word").to_pylist(), top.column("n").to_numpy()
-    units = {bytes(r.word): i for i, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(head).collect())}
+    first = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(head).collect()]
+    if all(w != END for w, _ in first):
+        first += [(END, r.n) for r in counts.where(F.col("word") == F.lit(END)).collect()]
+    units = {w: i for i, (w, _) in enumerate(first)}
     units.setdefault(END, len(units))
 
     def pairs(batches):
@@ -164,20 +171,78 @@ def fit(docs: DataFrame, train: Callable[[Column], Column], *, id_col: str = "do
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
     cls = exchange(keys // n_units, keys % n_units, n, n_units, classes, rounds)
-    # Class counts: of all tokens, and of the distinct words, which share the unknown word's mass.
-    types = np.zeros(classes)
-
-    def kinds(batches):
-        t, cache = np.zeros(classes, np.int64), {}
-        for batch in batches:
-            t += np.bincount(cls[_units(batch.column("word").to_pylist(), cache, units, groups)], minlength=classes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(t)], ["c", "t"])
-
-    for r in counts.select("word").mapInArrow(kinds, "c long, t long").groupBy("c").agg(F.sum("t").alias("t")).collect():
-        types[r.c] = r.t
-    tokens_of = np.bincount(cls[keys % n_units], n, classes)
     m = np.zeros((classes, classes))
     np.add.at(m, (cls[keys // n_units], cls[keys % n_units]), n)
+    # The log likelihood of a word with a left, of one with a right neighbour of a class (row) by the word's class (column).
+    of_left, of_right = np.log((m + 0.5) / (m.sum(0) + 0.5 * classes)), np.log((m.T + 0.5) / (m.sum(1) + 0.5 * classes))
+
+    def neighbours(batches):
+        seen, cache = Counter(), {}
+        for (text,) in arrow_rows(batches, "text"):
+            words = tokens(text)
+            seq = np.fromiter(_units(words, cache, units, groups), np.int64, len(words))
+            c, at = cls[seq], np.nonzero(seq >= len(units))[0]
+            # An end follows, and is a unit.
+            k = np.append(cls[units[END]], c)[at] * classes + c[np.minimum(at + 1, len(c) - 1)]
+            seen.update(zip([words[i] for i in at.tolist()], k.tolist(), strict=True))
+            if len(seen) > 300_000:
+                yield from _neighbours(seen)
+                seen = Counter()
+        yield from _neighbours(seen)
+
+    def likeliest(batches):
+        word, gain, n_of = None, None, 0  # of the last word, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w, k, n = batch.column("word"), batch.column("k").to_numpy(), batch.column("n").to_numpy()
+            starts = np.append(0, np.nonzero(pc.not_equal(w.slice(1), w.slice(0, len(w) - 1)).to_numpy(zero_copy_only=False))[0] + 1)
+            gains = np.add.reduceat(n[:, None] * (of_left[k // classes] + of_right[k % classes]), starts)
+            sums = np.add.reduceat(n, starts)
+            words = w.take(pa.array(starts)).to_pylist()
+            if word == words[0]:
+                gains[0] += gain
+                sums[0] += n_of
+            elif word is not None:
+                yield _classed([word], [n_of], gain[None])
+            word, gain, n_of = words[-1], gains[-1], sums[-1]
+            yield _classed(words[:-1], sums[:-1], gains[:-1])
+        if word is not None:
+            yield _classed([word], [n_of], gain[None])
+
+    own = corpus.mapInArrow(neighbours, "word binary, k int, n long").repartition("word").sortWithinPartitions("word").mapInArrow(likeliest, "word binary, n long, c int")
+    heads = docs.sparkSession.createDataFrame([(w, c, int(cls[units[w]])) for w, c in first], "word binary, n long, c int")
+    counts, _ = staged(own.unionByName(heads), "classes")
+    unstage(docs.sparkSession, counted)
+    # At most `kept` words of at most 64 bytes.
+    top, least = most_frequent(counts, "n", kept)
+    top = top.sort_by([("n", "descending"), ("word", "ascending")])
+    words, n_of = top.column("word").to_pylist(), top.column("n").to_numpy()
+    end, least_kept = int(cls[units[END]]), least - 1 if len(words) < distinct else 0
+    of_units = np.concatenate([top.column("c").to_numpy().astype(np.int64), [] if END in words else [end], cls[len(units) :]]).astype(np.int64)
+    units = {w: i for i, w in enumerate(words)}
+    units.setdefault(END, len(units))
+    held = docs.sparkSession.sparkContext.broadcast((b"\n".join(words), n_of))
+    model = BrownModel(uuid.uuid4().hex, units, groups, of_units, end, np.zeros(0), np.zeros(0), discount, total, distinct, held, least_kept, counts)
+    # Class bigrams, tokens and distinct words, which share the unknown word's mass, by the words' final classes.
+    alone = replace(model, units=None, counts=None)
+
+    def steps(batches):
+        out, cache = np.zeros(classes * classes, np.int64), {}
+        for text, w, n, c in arrow_rows(batches, "_2", "w", "n", "c"):
+            _, seq = _known(alone, tokens(text), w, n, c, cache)
+            out += np.bincount(np.append(end, seq[:-1]) * classes + seq, minlength=classes * classes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes * classes)), pa.array(out)], ["k", "n"])
+
+    m = np.zeros(classes * classes)
+    texts, numbered = _with_rest(corpus.select(F.lit(None).cast("int").alias("_1"), F.col("text").alias("_2")), model)
+    for r in texts.mapInArrow(steps, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        m[r.k] = r.n
+    unstage(docs.sparkSession, *numbered)
+    m = m.reshape(classes, classes)
+    types, tokens_of = np.zeros(classes), np.zeros(classes)
+    for r in counts.groupBy("c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("t")).collect():
+        types[r.c], tokens_of[r.c] = r.t, r.n
     spread = (tokens_of + 0.5) / (tokens_of.sum() + 0.5 * classes)
     strength = 5.0
     step = (m + strength * spread) / (m.sum(1, keepdims=True) + strength)
@@ -185,8 +250,19 @@ def fit(docs: DataFrame, train: Callable[[Column], Column], *, id_col: str = "do
     known = mix * step / np.maximum(tokens_of, 1) + (1 - mix) / max(total, 1)
     # A word never seen takes the discounted mass of its class; over all classes that is what the known words leave.
     unknown = mix * step * mass + (1 - mix) * discount * types / max(total, 1)
-    held = docs.sparkSession.sparkContext.broadcast((b"\n".join(words), n_of))
-    return BrownModel(uuid.uuid4().hex, units, groups, cls, np.log10(known), np.log10(unknown), discount, total, distinct, held, least - 1 if len(words) < distinct else 0, counts)
+    return replace(model, known=np.log10(known), unknown=np.log10(unknown))
+
+
+def _neighbours(seen: Counter):
+    keys, sums = list(seen), list(seen.values())
+    for at in range(0, len(keys), 50_000):
+        part = keys[at : at + 50_000]
+        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in part], pa.binary()), "k": pa.array([k for _, k in part], pa.int32()), "n": pa.array(sums[at : at + 50_000], pa.int64())})
+
+
+def _classed(words: list[bytes], n, gains: np.ndarray) -> pa.RecordBatch:
+    # Rounded, so that the order of adding doesn't decide.
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(np.round(gains, 6).argmax(1), pa.int32())], ["word", "n", "c"])
 
 
 def _added(keys: np.ndarray, sums: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -227,62 +303,80 @@ def _frequent(model: BrownModel) -> tuple[dict[bytes, int], np.ndarray]:
     return _UNPACKED[model.name]
 
 
+def _known(model: BrownModel, words: list[bytes], rest: list[bytes] | None, n: list[int] | None, c: list[int] | None, cache: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts (0: never seen) and classes of a text's words, of which those of `rest` are given."""
+    index, counts = _frequent(model)
+    at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
+    n_of = np.append(counts, 0.0)[at]
+    cls = model.cls[at]
+    others = np.nonzero(at < 0)[0].tolist()
+    if others:
+        given = dict(zip(rest or (), zip(n or (), c or (), strict=True), strict=True))
+        first = len(model.cls) - model.groups
+        for i in others:
+            w = words[i]
+            got = given.get(w)
+            if got:
+                n_of[i], cls[i] = got
+            else:
+                cls[i] = model.end if w == END else model.cls[first + _units([w], cache, {}, model.groups)[0]]
+    return n_of, cls
+
+
+def _with_rest(docs: DataFrame, model: BrownModel) -> tuple[DataFrame, list[str]]:
+    """The rows (_1, _2: a text) with w, n, c: the text's words that workers don't hold but the model knows, their counts and classes;
+    and what is staged for them."""
+    if not model.least_kept:
+        return docs.select("*", F.lit(None).cast("array<binary>").alias("w"), F.lit(None).cast("array<bigint>").alias("n"), F.lit(None).cast("array<int>").alias("c")), []
+    # Written, so that every reader sees the same numbers.
+    numbered, path = staged(docs.select("_1", "_2", F.monotonically_increasing_id().alias("_k")), "numbered")
+    alone, rare = replace(model, units=None, counts=None), model.counts.where(F.col("n") <= model.least_kept)
+
+    def missing(batches):
+        index, _ = _frequent(alone)
+        keys, words = [], []
+        for key, text in arrow_rows(batches, "_k", "_2"):
+            more = [w for w in set(tokens(text)) if w not in index]
+            keys += [key] * len(more)
+            words += more
+            if len(words) > 20_000:
+                yield pa.RecordBatch.from_pydict({"_k": pa.array(keys, pa.int64()), "word": pa.array(words, pa.binary())})
+                keys, words = [], []
+        yield pa.RecordBatch.from_pydict({"_k": pa.array(keys, pa.int64()), "word": pa.array(words, pa.binary())})
+
+    got = numbered.mapInArrow(missing, "_k long, word binary").join(rare, "word").groupBy("_k").agg(F.collect_list(F.struct("word", "n", "c")).alias("r"))
+    return numbered.join(got, "_k", "left").select("_1", "_2", F.col("r.word").alias("w"), F.col("r.n").alias("n"), F.col("r.c").alias("c")), [path]
+
+
 def score(docs: DataFrame, model: BrownModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's id with n_tokens, n_known, base_score and score (log10 probabilities of the text with its end).
 
-    base_score is the add-one unigram model's. Counts of words that workers don't hold are joined: a row for a text and word, so that
-    a text of any length is summed in parts. Null texts are empty. Every row gives one row, repeated ids and texts too; an empty
-    table gives an empty one.
+    base_score is the add-one unigram model's. Counts and classes of words that workers don't hold are joined to their texts. Null texts
+    are empty. Every row gives one row, repeated ids and texts too; an empty table gives an empty one.
     """
     base_all = float(np.log10(model.train_tokens + model.vocabulary + 1))
-    table, model = model.counts, replace(model, counts=None)
+    kind, sql = arrow_kind(docs, id_col)
+    parts, _ = _with_rest(docs.select(F.col(id_col).alias("_1"), F.col(text_col).alias("_2")), model)
+    model = replace(model, units=None, counts=None)
 
     def run(batches):
-        index, counts = _frequent(model)
-        log_a, log_b = np.log10(np.append(counts, 1) - np.append(np.full(len(counts), model.discount), 0)), np.log10(np.append(counts, 0) + 1)
-        whole = len(counts) == model.vocabulary
-        start, cache, rows = model.cls[model.units[END]], {}, []
-        for i, key, text in arrow_rows(batches, "_1", "_k", "_2"):
+        rows, cache = [], {}
+        for i, text, w, n, c in arrow_rows(batches, "_1", "_2", "w", "n", "c"):
             words = tokens(text)
-            c = model.cls[np.fromiter(_units(words, cache, model.units, model.groups), np.int64, len(words))]
-            prev = np.concatenate(([start], c[:-1]))
-            at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
-            held = at >= 0
-            value = float(np.sum((model.known[prev, c] + log_a[at])[held]) + (np.sum(model.unknown[prev, c][~held]) if whole else 0.0))
-            base = float(np.sum(log_b[at][held])) - base_all * len(words)
-            # White space keeps the key of the text's own row, which is joined with nothing, apart from words.
-            rows.append((i, key, b" %d" % key, len(words), int(held.sum()), value, 0.0, base))
-            if not whole and not held.all():
-                rest: dict[bytes, list] = {}
-                for w, p, x in zip([words[j] for j in np.nonzero(~held)[0]], model.known[prev, c][~held].tolist(), model.unknown[prev, c][~held].tolist(), strict=True):
-                    r = rest.setdefault(w, [0, 0.0, 0.0])
-                    r[0] += 1
-                    r[1] += p
-                    r[2] += x
-                rows += [(None, key, w, r[0], None, r[1], r[2], None) for w, r in rest.items()]
+            n_of, cls = _known(model, words, w, n, c, cache)
+            prev, seen = np.append(model.end, cls[:-1]), n_of > 0
+            own = np.where(seen, model.known[prev, cls] + np.log10(np.where(seen, n_of - model.discount, 1.0)), model.unknown[prev, cls])
+            rows.append((i, len(words), int(seen.sum()), float(np.log10(n_of + 1).sum()) - base_all * len(words), float(own.sum())))
             if len(rows) > 20_000:
                 yield _rows(rows, kind)
                 rows = []
         yield _rows(rows, kind)
 
-    kind, sql = arrow_kind(docs, id_col)
-    numbered = docs.select(F.col(id_col).alias("_1"), F.monotonically_increasing_id().alias("_k"), F.col(text_col).alias("_2"))
-    parts = numbered.mapInArrow(run, f"_1 {sql}, _k long, word binary, n long, n_known long, a double, x double, base double")
-    if model.least_kept:
-        rare = table.where(F.col("n") <= model.least_kept).select(F.col("word").alias("w"), F.col("n").alias("c"))
-        joined, own, hit = parts.join(rare, F.col("word") == F.col("w"), "left"), F.col("base").isNotNull(), F.col("c").isNotNull()
-        adds = {
-            "n_tokens": F.when(own, F.col("n")), "n_known": F.when(own, F.col("n_known")).when(hit, F.col("n")),
-            "base_score": F.when(own, F.col("base")).when(hit, F.col("n") * F.log10(F.col("c") + 1)),
-            "score": F.when(own, F.col("a")).when(hit, F.col("a") + F.col("n") * F.log10(F.col("c") - model.discount)).otherwise(F.col("x")),
-        }
-        out = joined.select("_1", "_k", *(v.alias(k) for k, v in adds.items())).groupBy("_k").agg(F.max("_1").alias("_1"), *(F.sum(k).alias(k) for k in adds))
-    else:
-        out = parts.select("_1", F.col("n").alias("n_tokens"), "n_known", F.col("base").alias("base_score"), F.col("a").alias("score"))
-    return out.select(F.col("_1").alias(id_col), "n_tokens", "n_known", "base_score", "score")
+    out = parts.mapInArrow(run, f"_1 {sql}, n_tokens long, n_known long, base_score double, score double")
+    return out.withColumnRenamed("_1", id_col)
 
 
 def _rows(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    kinds = {"_1": kind, "_k": pa.int64(), "word": pa.binary(), "n": pa.int64(), "n_known": pa.int64(), "a": pa.float64(), "x": pa.float64(), "base": pa.float64()}
+    kinds = {"_1": kind, "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
     cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], list(kinds))

@@ -98,3 +98,16 @@ def test_no_training_documents(spark):
     assert len(got) == docs.count() and all(r.n_known == 0 and math.isfinite(r.score) and r.base_score == 0 for r in got)
     model = brown.fit(cases.empty(spark), lambda i: F.lit(True))
     assert brown.score(cases.empty(spark), model).count() == 0
+
+
+@pytest.mark.parametrize("kept", [1 << 18, 20])
+def test_rare_words_have_classes_of_their_own(spark, kept):
+    # Words of both sides share their last letters, so that spelling tells nothing, and all but a few are outside the exchange.
+    rng = random.Random(6)
+    text = lambda: " ".join(f"{'ab'[j % 2]}{rng.randint(0, 40)}xyz" for j in range(60))
+    docs = cases.documents(spark, [(i, text()) for i in range(150)])
+    model = brown.fit(docs, lambda i: i < 120, head=12, groups=1, classes=6, kept=kept)
+    side = {(bytes(r.word)[:1], r.c) for r in model.counts.where("word != cast(' ' as binary)").collect()}
+    assert len({c for _, c in side}) == len(side)
+    got = brown.score(docs.where("doc_id >= 120"), model).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.2
