@@ -31,7 +31,7 @@ def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every document by a class bigram model that learns from those outside the held-out seventh."""
     docs = table(spark, sf_dir, "documents")
     model = brown.fit(docs, lambda i: ~held_out(i, 7))
-    return brown.score(docs, model).select(
+    return brown.fitted_scores(model).select(
         "doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score",
     )

@@ -38,12 +38,14 @@ def test_kept_counts_don_t_change_scores(spark):
     assert scores[0] == scores[1]
 
 
-def test_probabilities_sum_to_one(spark):
+@pytest.mark.parametrize("kept", [1 << 18, 5])
+def test_probabilities_sum_to_one(spark, kept):
     rng = random.Random(2)
     docs = cases.documents(spark, [(i, cases.words(rng, 30)) for i in range(60)])
-    model = brown.fit(docs, lambda i: F.lit(True), head=40, groups=10, classes=8)
-    words, counts = model.kept.value
-    cls = np.array(model.cls)[[brown.unit_of(w, model.units, model.groups) for w in words.split(b"\n")]]
+    model = brown.fit(docs, lambda i: F.lit(True), head=min(40, kept), groups=10, classes=8, kept=kept)
+    rows = brown.word_classes(model).collect()
+    cls, counts = np.array([r.c for r in rows]), np.array([r.n for r in rows])
+    assert counts.sum() == model.train_tokens and len(rows) == model.vocabulary
     for prev in set(cls.tolist()):
         known = (10 ** model.known[prev, cls] * (counts - model.discount)).sum()
         assert known > 0.5
@@ -107,7 +109,7 @@ def test_rare_words_have_classes_of_their_own(spark, kept):
     text = lambda: " ".join(f"{'ab'[j % 2]}{rng.randint(0, 40)}xyz" for j in range(60))
     docs = cases.documents(spark, [(i, text()) for i in range(150)])
     model = brown.fit(docs, lambda i: i < 120, head=12, groups=1, classes=6, kept=kept)
-    side = {(bytes(r.word)[:1], r.c) for r in model.counts.where("word != cast(' ' as binary)").collect()}
+    side = {(bytes(r.word)[:1], r.c) for r in brown.word_classes(model).where("word != cast(' ' as binary)").collect()}
     assert len({c for _, c in side}) == len(side)
     got = brown.score(docs.where("doc_id >= 120"), model).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert (got[0] - got[1]) / got[2] > 0.2
