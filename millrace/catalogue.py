@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -13,12 +14,14 @@ from pyspark.sql import functions as F
 from millrace.functions import tables as in_batch
 from millrace.operators import columns as strict
 from millrace.operators.batching import BATCH
+from millrace.plans.contracts import ColumnSet, schema_of
 from millrace.plans.errors import PipelineError
 from millrace.plans.executors import LocalExecutor
 from millrace.plans.graph import PipelineGraph
-from millrace.plans.task import COMMON_ORIGIN, MaxRows, Task
+from millrace.plans.task import COMMON_ORIGIN, MaxRows, Resources, Task, TaskRegistry
+from millrace.plans.tracker import Lineage, OutputBatch, PathStep, PipelineTracker
 from millrace.sources.frames import FrameSource, GeneratorSource, RangeSource
-from millrace.streaming.runner import Accumulator, StreamRunner
+from millrace.streaming.runner import FileStream, StreamRunner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -476,7 +479,7 @@ def graph_validate_errors(spark, sf_dir):
     return spark.createDataFrame(rows, "case_name string, error string, missing string")
 
 
-@query("select doc_id, lang, n_chars from documents")
+@query("select doc_id, lang, n_chars from documents union all select doc_id, lang, n_chars from documents")
 def storage_roundtrip(spark, sf_dir):
     """Keeping a result doesn't change it."""
     g = PipelineGraph()
@@ -484,7 +487,7 @@ def storage_roundtrip(spark, sf_dir):
     g.add_fan_out(top, [Task.passthrough("x"), Task.passthrough("y")])
     source = FrameSource(table(spark, sf_dir, "documents", "doc_id", "lang", "n_chars"), "doc_id", 500)
     r = run(spark, g, source, storage="disk")
-    return r.frame("x").intersect(r.frame("y"))
+    return r.frame("x").unionByName(r.frame("y"))
 
 
 def _same(batch: pa.Table) -> pa.Table:
@@ -497,8 +500,6 @@ def _same(batch: pa.Table) -> pa.Table:
 def _folder(spark, name: str) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
-        import uuid
-
         return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     return "file://" + tempfile.mkdtemp(prefix=f"{name}-")
 
@@ -512,14 +513,160 @@ def stream_passthrough(spark, sf_dir):
     return r.read("double").select("event_id", "user_id", "doubled")
 
 
-@query(f"select rn // 1000 as bid, {_EV} from ({_RN}) group by 1")
+@query(
+    f"""with recursive e as (select event_id, row_number() over (partition by event_id % 4 order by event_id) - 1 as pos, event_id % 4 as seq from events),
+bs as (select seq, count(*) as rows from e group by 1), {_FIT.format(n=1000)},
+placed as (select e.event_id, r.g, coalesce((select sum(b.rows) from bs b join r q on q.seq = b.seq where q.g = r.g and b.seq < e.seq), 0) + e.pos as place from e join r on r.seq = e.seq),
+part as (select g, cast(place // 1000 as bigint) as p, event_id from placed),
+num as (select g, p, row_number() over (order by g, p) - 1 as bid from (select distinct g, p from part))
+select bid, {_EV} from part join num using (g, p) group by 1"""
+)
 def stream_maxrows(spark, sf_dir):
-    """A stream's micro-batches accumulate and are cut like batches."""
+    """Four micro-batches accumulate across epochs and are cut like batches."""
     df = table(spark, sf_dir, "events", "event_id", "user_id")
-    stream = spark.readStream.schema(df.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    a = Accumulator(spark, _folder(spark, "accumulate"), 1000, ["event_id"])
-    q = a.start(stream)
-    q.awaitTermination()
-    last = max((p["batchId"] for p in q.recentProgress), default=0)
-    a.finish(last, df.schema)
-    return a.read().groupBy(F.col("__group").alias("bid")).agg(F.count(F.lit(1)).alias("n_rows"), F.min("event_id").alias("lo_id"), F.max("event_id").alias("hi_id"))
+    at = _folder(spark, "accumulate")
+    for k in range(4):  # a file is a micro-batch
+        df.where(F.pmod("event_id", F.lit(4)) == k).repartition(1).write.parquet(f"{at}/in/{k}")
+    r = StreamRunner(spark, chain(Task.passthrough("group").with_mode(MaxRows(1000))), f"{at}/out", order_by=["event_id"], batched=True)
+    r.start(FileStream(f"{at}/in/*", df.schema).with_source_buffer(1).load(spark)).awaitTermination()
+    r.finish(3, df.schema)
+    return r.read("group").groupBy(F.col(BATCH).alias("bid")).agg(F.count(F.lit(1)).alias("n_rows"), F.min("event_id").alias("lo_id"), F.max("event_id").alias("hi_id"))
+
+
+# --- names, iteration and what graphs tell of themselves -------------------------------------------------------------------------
+
+#: User columns with names that an engine might want for itself.
+_NAMES = ("comp", "brank", "group", "first", "offset", "b2", "s2")
+_ANY = ", ".join(f"user_id + {k} as {c if c not in ('group', 'first', 'offset') else chr(34) + c + chr(34)}" for k, c in enumerate(_NAMES))
+
+
+def _clashing(spark, sf_dir, mode, b=None):
+    df = table(spark, sf_dir, "events", "event_id", "user_id").selectExpr("event_id", *(f"user_id + {k} as `{c}`" for k, c in enumerate(_NAMES)))
+    g = diamond(Task.passthrough("merge").with_mode(mode), _tagged("b", b), _tagged("c"), root=Task.passthrough("top"))
+    return run(spark, g, FrameSource(df, "event_id", 64))
+
+
+@query(f"select event_id, {_ANY} from events union all select event_id, {_ANY} from events")
+def names_common_origin(spark, sf_dir):
+    """Aligned branches that meet again, whatever their columns are called."""
+    return _clashing(spark, sf_dir, COMMON_ORIGIN).frame("merge")
+
+
+@query(f"select event_id, {_ANY} from events union all select event_id, {_ANY} from events")
+def names_common_origin_asym(spark, sf_dir):
+    return _clashing(spark, sf_dir, COMMON_ORIGIN, MaxRows(128)).frame("merge")
+
+
+@query(f"select event_id, {_ANY} from events union all select event_id, {_ANY} from events")
+def names_fanin_maxrows(spark, sf_dir):
+    return _clashing(spark, sf_dir, MaxRows(200)).frame("merge")
+
+
+@query(f"select 'merge' as sink, rn // 1000 as origin, cast(count(*) * 2 as bigint) as n_rows, cast(sum(user_id + 5) * 2 as bigint) as total from ({_RN}) group by 2")
+def outputs_iterator(spark, sf_dir):
+    """Every output batch, as the iterator gives it."""
+    df = table(spark, sf_dir, "events", "event_id", "user_id").selectExpr("event_id", "user_id + 5 as b2")
+    g = diamond(Task.passthrough("merge").with_mode(COMMON_ORIGIN), _tagged("b"), _tagged("c"), root=Task.passthrough("top"))
+    rows = [(o.task, o.lineage.origins[0], o.data.num_rows, pc.sum(o.data.column("b2")).as_py()) for o in run(spark, g, FrameSource(df, "event_id", 1000)).outputs()]
+    return spark.createDataFrame(rows, "sink string, origin bigint, n_rows bigint, total bigint")
+
+
+@query(f"select rn // 64 as bid, {_EV} from ({_RN}) group by 1")
+def common_origin_single(spark, sf_dir):
+    """With one predecessor, or none, batches come as they are."""
+    return _grouped(spark, events(spark, sf_dir, 64), COMMON_ORIGIN, COMMON_ORIGIN)
+
+
+def _parts(batch: pa.Table) -> pa.Table:
+    parts = in_batch.split(batch.select(["event_id"]), 30)
+    return pa.table({"part_rows": pa.array([p.num_rows for p in parts], pa.int64()), "part_first": pa.array([p.column(0)[0].as_py() for p in parts], pa.int64())})
+
+
+@query(f"select cast(count(*) as bigint) as part_rows, min(event_id) as part_first from ({_RN}) group by rn // 100, rn % 100 // 30")
+def batch_split(spark, sf_dir):
+    """Slices of a batch inside its function."""
+    t = Task.batch("parts", "event_id bigint", "part_rows bigint, part_first bigint", _parts).with_drops("event_id", "user_id")
+    return run(spark, chain(t), events(spark, sf_dir, 100)).frame("parts")
+
+
+@query(f"select unnest(['top', 'b', 'b2', 'c', 'merge']) as task, n as runs, n as exec_ids from (select max(rn) // 64 + 1 as n from ({_RN}))")
+def execution_ids(spark, sf_dir):
+    """No two executions have one id."""
+    r, out = _long(spark, sf_dir), None
+    for n in r.graph.nodes():
+        steps = r.compiled.batches(n.index).meta.select(F.element_at("path", -1).alias("s"))
+        one = steps.agg(F.count(F.lit(1)).alias("runs"), F.countDistinct("s.exec_id").alias("exec_ids")).select(F.lit(n.name).alias("task"), "runs", "exec_ids")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"select unnest(['top', 'b', 'b2', 'c', 'merge']) as task, n as runs, n as sink_batches from (select max(rn) // 64 + 1 as n from ({_RN}))")
+def tracker_summary(spark, sf_dir):
+    """What a tracker adds up from the outputs alone."""
+    r = _long(spark, sf_dir)
+    tracker = r.tracker()
+    for o in r.outputs():
+        tracker.update(o)
+    s = tracker.summary()
+    return spark.createDataFrame([(t, x.runs, s.sink_batches) for t, x in s.tasks.items()], "task string, runs bigint, sink_batches bigint")
+
+
+@query("select * from (values (1, 'a', 2, '150.0ms', '42.9%'), (2, 'b', 1, '200.0ms', '57.1%'), (3, 'TOTAL', null, '350.0ms', '100.0%')) t(line, task, runs, exec, share)")
+def tracker_table(spark, sf_dir):
+    """The printed table's rows."""
+    tracker = PipelineTracker(["a", "b"])
+    for i, (task, ms) in enumerate((("a", 100), ("b", 200), ("a", 50))):
+        tracker.update(OutputBatch(pa.table({"x": [1]}), "sink", Lineage((i,), (PathStep(i, task, ms * 1_000_000),))))
+    cells = [x.split() for x in tracker.table().splitlines()[3:] if "---" not in x]
+    rows = [(k, c[0], int(c[1]) if len(c) == 6 else None, c[-4] if len(c) == 6 else c[1], c[-3] if len(c) == 6 else c[2]) for k, c in enumerate(cells, 1)]
+    return spark.createDataFrame(rows, "line int, task string, runs int, exec string, share string")
+
+
+@query("select * from (values (0, 'double', true, false, '', 'branch_a,branch_b'), (1, 'branch_a', false, false, 'double', 'merge_sink'), (2, 'branch_b', false, false, 'double', 'merge_sink'), (3, 'merge_sink', false, true, 'branch_a,branch_b', '')) t(idx, task, is_source, is_sink, before, after)")
+def graph_introspection(spark, sf_dir):
+    g = _demo()
+    names = lambda at: ",".join(g.task(i).name for i in at)
+    rows = [(n.index, n.name, n.is_source, n.is_sink, names(g.predecessors(n.index)), names(g.successors(n.index))) for n in g.nodes()]
+    return spark.createDataFrame(rows, "idx int, task string, is_source boolean, is_sink boolean, before string, after string")
+
+
+@query("select * from (values (0, 'merge_sink'), (1, 'branch_a'), (2, 'branch_b'), (3, 'double')) t(place, task)")
+def graph_ranked_nodes(spark, sf_dir):
+    g = _demo()
+    return spark.createDataFrame([(k, g.task(i).name) for k, i in enumerate(g.ranked_nodes())], "place int, task string")
+
+
+@query("select * from (values ('head', 'Pipeline: 4 tasks (1 source, 1 sink), 4 edges'), ('edge', 'double -> branch_a'), ('edge', 'double -> branch_b'), ('edge', 'branch_a -> merge_sink'), ('edge', 'branch_b -> merge_sink'), ('task', '[SOURCE] double'), ('task', '[      ] branch_a'), ('task', '[      ] branch_b'), ('task', '[SINK  ] merge_sink')) t(kind, line)")
+def graph_summary(spark, sf_dir):
+    lines = _demo().summary().splitlines()
+    rows = [("head", lines[0]), *(("edge", x.strip()) for x in lines if " -> " in x), *(("task", x[2 : x.index("batch_mode")].strip()) for x in lines if "batch_mode" in x)]
+    return spark.createDataFrame(rows, "kind string, line string")
+
+
+@query("select * from (values ('a', 'int'), ('b', 'string'), ('c', 'double'), ('d', 'array<bigint>')) t(name, kind)")
+def contract_schema(spark, sf_dir):
+    """A contract written as text, as pairs and as a schema is one contract."""
+    text, pairs = schema_of("a int, b string, c double, d array<bigint>"), schema_of([("a", "int"), ("b", "string"), ("c", "double"), ("d", "array<bigint>")])
+    assert text == pairs == schema_of(text)
+    return spark.createDataFrame([(n, t.simpleString()) for n, t in ColumnSet.of(text).items()], "name string, kind string")
+
+
+@query("select * from (values ('plain', 'Passthrough', cast(null as int), 1, 0, ''), ('some', 'MaxRows(7)', 7, 4, 2, 'x')) t(task, mode, most, cpus, gpus, drops)")
+def task_accessors(spark, sf_dir):
+    """Tasks from a registry, with their modes, resources and drops."""
+    registry = TaskRegistry()
+    registry.register(Task.passthrough("plain"))
+    registry.register(Task.passthrough("some").with_batch_size(7).with_resources(Resources(cpus=4, gpus=2)).with_drops("x"))
+    tasks = [registry.build(n) for n in registry.task_names()]
+    rows = [(t.name, repr(t.mode), t.mode.max_rows, t.resources.cpus, t.resources.gpus, ",".join(t.drops)) for t in tasks]
+    return spark.createDataFrame(rows, "task string, mode string, most int, cpus int, gpus int, drops string")
+
+
+@query("select 'memory' as policy, doc_id, n_chars from documents union all select 'none', doc_id, n_chars from documents")
+def storage_policies(spark, sf_dir):
+    out = None
+    for policy in ("memory", "none"):
+        r = run(spark, chain(Task.passthrough("top", _same), Task.passthrough("end").with_mode(MaxRows(300))), FrameSource(table(spark, sf_dir, "documents", "doc_id", "n_chars"), "doc_id", 500), storage=policy)
+        one = r.frame("end").select(F.lit(policy).alias("policy"), "doc_id", "n_chars")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -1,26 +1,55 @@
 """Batch formation on the control plane.
 
 Every node has, beside its rows, a small table with a row for each batch: batch (id), rank (canonical order), rows, lo and hi (the
-interval of source batches it stems from) and path (executions on its longest way). Forming batches is computed there; rows are
-told their new batch by arithmetic where batches are uniform, else by a join with that table.
+interval of source batches it stems from), path (executions on its longest way) and steps (all of them). Forming batches is computed
+there; rows are told their new batch by arithmetic where batches are uniform, else by a join with that table. Ranks and running sums are
+prefix scans over blocks; only the next-fit fold is sequential.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.plans.errors import SchemaMismatch
+
+#: Names that begin like these are the engine's own: sources and tasks may not have them.
+RESERVED = "__"
 BATCH, POS, SRC = "__batch", "__pos", "__src"
-META = "batch bigint, rank bigint, rows bigint, lo bigint, hi bigint, path array<struct<task:string,exec_id:bigint>>"
+STEPS = "array<struct<task:string,exec_id:bigint,batch:bigint>>"
+#: A control plane's columns. path: the longest way of executions to a batch; steps: all executions that it stems from.
+META = f"batch bigint, rank bigint, rows bigint, lo bigint, hi bigint, path {STEPS}, steps {STEPS}"
+#: Running sums and ranks go by blocks of so many ranks or source batches, each ordered by a task, and carry one row a block.
+BLOCK = 1 << 16
+
+
+def refuse_reserved(names: Iterable[str], of: str) -> None:
+    if bad := sorted(n for n in names if n.lower().startswith(RESERVED)):
+        raise SchemaMismatch(of, "the engine, whose own columns begin so", bad)
 
 
-def _all() -> WindowSpec:
-    """The control plane as a whole, which is small against the rows."""
-    return Window.partitionBy(F.lit(0))
+def _carried(df: DataFrame, block: Column, totals: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
+    """df with __block, and for each of `carry` its value over the totals of all blocks before a row's own (null in the first).
+
+    A prefix scan's middle step: only a row for each block meets in one place.
+    """
+    df = df.withColumn("__block", block.cast("long"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(F.col("__block").alias("__b")).agg(*(c.alias(n) for n, c in totals.items()))
+    sums = sums.select("__b", *(c.over(before).alias(n) for n, c in carry.items()))
+    return df.join(sums, F.col("__block") == F.col("__b")).drop("__b")
+
+
+def ranked(meta: DataFrame, order: list[str | Column], into: str = "rank") -> DataFrame:
+    """meta with each row's place in an order that begins with lo."""
+    out = _carried(meta, F.floor(F.col("lo") / BLOCK), {"__n": F.count(F.lit(1))}, {"__n": F.sum("__n")})
+    at = F.row_number().over(Window.partitionBy("__block").orderBy(*order)) - 1
+    return out.withColumn(into, (F.coalesce("__n", F.lit(0)) + at).cast("long")).drop("__block", "__n")
 
 
 @dataclass(frozen=True)
@@ -67,19 +96,23 @@ def uniform_meta(spark, size: int, total: int, most: int | None = None) -> DataF
     n = -(-total // size)
     n = n if most is None else min(n, most)
     rows = F.least(F.lit(size), F.lit(total) - F.col("id") * size).cast("long")
-    return spark.range(n).select(F.col("id").alias("batch"), F.col("id").alias("rank"), rows.alias("rows"), F.col("id").alias("lo"), F.col("id").alias("hi"), F.array().cast("array<struct<task:string,exec_id:bigint>>").alias("path"))
+    return spark.range(n).select(F.col("id").alias("batch"), F.col("id").alias("rank"), rows.alias("rows"), F.col("id").alias("lo"), F.col("id").alias("hi"), *no_steps())
+
+
+def no_steps() -> list[Column]:
+    return [F.array().cast(STEPS).alias("path"), F.array().cast(STEPS).alias("steps")]
 
 
 def executed(b: Batches, task: str) -> Batches:
     """The batches after a task: an execution more on their path."""
-    step = F.struct(F.lit(task).alias("task"), F.xxhash64(F.lit(task), "batch").alias("exec_id"))
-    return Batches(b.data, b.meta.withColumn("path", F.concat("path", F.array(step))), b.uniform, b.aligned)
+    step = F.array(F.struct(F.lit(task).alias("task"), F.xxhash64(F.lit(task), "batch").alias("exec_id"), F.col("batch").alias("batch")))
+    return Batches(b.data, b.meta.withColumns({"path": F.concat("path", step), "steps": F.concat("steps", step)}), b.uniform, b.aligned)
 
 
 def recounted(b: Batches) -> Batches:
     """The control plane with the numbers of rows that there are; batches without rows stay."""
-    n = b.data.groupBy(F.col(BATCH).alias("b2")).agg(F.count(F.lit(1)).alias("n"))
-    meta = b.meta.join(n, F.col("batch") == F.col("b2"), "left").select("batch", "rank", F.coalesce("n", F.lit(0)).alias("rows"), "lo", "hi", "path")
+    n = b.data.groupBy(F.col(BATCH).alias("__b2")).agg(F.count(F.lit(1)).alias("__n"))
+    meta = b.meta.join(n, F.col("batch") == F.col("__b2"), "left").select("batch", "rank", F.coalesce("__n", F.lit(0)).alias("rows"), "lo", "hi", "path", "steps")
     return Batches(b.data, meta, None, b.aligned)
 
 
@@ -89,8 +122,7 @@ def _together(branches: list[Batches], columns: list[str]) -> tuple[DataFrame, D
     for k, b in enumerate(branches):
         d, m = b.data.select(*columns, BATCH, POS, F.lit(k).alias(SRC)), b.meta.withColumn(SRC, F.lit(k))
         data, meta = (d, m) if data is None else (data.unionByName(d), meta.unionByName(m))
-    rank = F.row_number().over(_all().orderBy("lo", SRC, "rank")) - 1
-    return data, meta.withColumn("rank", rank.cast("long"))
+    return data, meta if len(branches) == 1 else ranked(meta, ["lo", SRC, "rank"])
 
 
 def passthrough(branches: list[Batches], columns: list[str]) -> Batches:
@@ -99,13 +131,13 @@ def passthrough(branches: list[Batches], columns: list[str]) -> Batches:
         return branches[0]
     data, meta = _together(branches, columns)
     new = lambda batch: (F.col(batch) * len(branches) + F.col(SRC)).alias(batch)
-    return Batches(data.select(*columns, new(BATCH), POS), meta.select(new("batch"), "rank", "rows", "lo", "hi", "path"))
+    return Batches(data.select(*columns, new(BATCH), POS), meta.select(new("batch"), "rank", "rows", "lo", "hi", "path", "steps"))
 
 
 def next_fit(meta: DataFrame, n: int) -> DataFrame:
     """meta with group: batches in order of rank join the open group while it has at most n rows with them, else open the next.
 
-    The fold is sequential by nature: one task streams the ordered control plane and keeps two numbers.
+    The fold is sequential by nature: one task streams two numbers for each batch, in order, and keeps two.
     """
 
     def fold(parts):
@@ -117,10 +149,10 @@ def next_fit(meta: DataFrame, n: int) -> DataFrame:
                     group, held = group + 1, 0
                 held += rows
                 out.append(group)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int64())], [*part.schema.names, "group"])
+            yield pa.RecordBatch.from_arrays([part.column("rank"), pa.array(out, pa.int64())], ["__rank", "group"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in meta.schema) + ", group bigint"
-    return meta.repartition(1).sortWithinPartitions("rank").mapInArrow(fold, schema)
+    placed = meta.select("rank", "rows").repartition(1).sortWithinPartitions("rank").mapInArrow(fold, "__rank bigint, group bigint")
+    return meta.join(placed, F.col("rank") == F.col("__rank")).drop("__rank")
 
 
 def _closed(u: Uniform, n: int) -> bool:
@@ -129,9 +161,10 @@ def _closed(u: Uniform, n: int) -> bool:
     return k * u.size == n or rest == 0 or full % k != 0 or rest > n - k * u.size
 
 
-def _longest() -> Column:
-    """Of a group's paths the longest, of several the first."""
-    return F.max_by("path", F.struct(F.size("path"), -F.col("rank"))).alias("path")
+def _merged() -> list[Column]:
+    """Of a group's batches: rows, origins, the longest of their paths (of several the first) and all their steps."""
+    longest = F.max_by("path", F.struct(F.size("path"), -F.col("rank"))).alias("path")
+    return [F.sum("rows").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), longest, F.array_distinct(F.flatten(F.collect_list("steps"))).alias("steps")]
 
 
 def max_rows(branches: list[Batches], columns: list[str], n: int) -> Batches:
@@ -140,32 +173,38 @@ def max_rows(branches: list[Batches], columns: list[str], n: int) -> Batches:
     if len(branches) == 1 and one.uniform and one.uniform.size <= n and _closed(one.uniform, n):
         k, size = n // one.uniform.size, one.uniform.size
         data = one.data.withColumns({BATCH: F.floor(F.col(BATCH) / k), POS: F.col(BATCH) % k * size + F.col(POS)})
-        groups = one.meta.withColumn("group", F.floor(F.col("batch") / k)).groupBy("group")
-        meta = groups.agg(F.sum("rows").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), _longest())
-        return Batches(data, meta.select(F.col("group").alias("batch"), F.col("group").alias("rank"), "rows", "lo", "hi", "path"), Uniform(k * size, one.uniform.total), False)
+        meta = one.meta.withColumn("group", F.floor(F.col("batch") / k)).groupBy("group").agg(*_merged())
+        return Batches(data, meta.select(F.col("group").alias("batch"), F.col("group").alias("rank"), "rows", "lo", "hi", "path", "steps"), Uniform(k * size, one.uniform.total), False)
     data, meta = _together(branches, columns)
     inside = Window.partitionBy("group").orderBy("rank")
     folded = next_fit(meta, n).withColumn("offset", F.sum("rows").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    groups = folded.groupBy("group").agg(F.sum("rows").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), _longest())
+    groups = folded.groupBy("group").agg(*_merged())
+    # The first batch number of each group: those of all groups before it.
     parts = F.greatest(F.lit(1), F.ceil(F.col("rows") / n)).cast("long")
-    before = F.coalesce(F.sum(parts).over(_all().orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    groups = groups.withColumn("first", before)
-    place = folded.select(F.col(SRC).alias("s2"), F.col("batch").alias("b2"), "group", F.coalesce("offset", F.lit(0)).alias("offset")).join(groups.select("group", "first"), "group")
-    at = F.col("offset") + F.col(POS)
-    joined = data.join(place, (F.col(SRC) == F.col("s2")) & (F.col(BATCH) == F.col("b2")))
-    data = joined.select(*columns, (F.col("first") + F.floor(at / n)).alias(BATCH), (at % n).alias(POS))
-    part = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")
-    meta = groups.select("first", "rows", "lo", "hi", "path", part)
+    groups = _carried(groups.withColumn("parts", parts), F.floor(F.col("group") / BLOCK), {"__n": F.sum("parts")}, {"__n": F.sum("__n")})
+    here = F.sum("parts").over(Window.partitionBy("__block").orderBy("group").rowsBetween(Window.unboundedPreceding, -1))
+    groups = groups.withColumn("first", (F.coalesce("__n", F.lit(0)) + F.coalesce(here, F.lit(0))).cast("long")).drop("__block", "__n")
+    place = folded.join(groups.select(F.col("group").alias("__g2"), F.col("first").alias("__first")), F.col("group") == F.col("__g2"))
+    place = place.select(F.col(SRC).alias("__s2"), F.col("batch").alias("__b2"), F.coalesce("offset", F.lit(0)).alias("__offset"), "__first")
+    at = F.col("__offset") + F.col(POS)
+    joined = data.join(place, (F.col(SRC) == F.col("__s2")) & (F.col(BATCH) == F.col("__b2")))
+    data = joined.select(*columns, (F.col("__first") + F.floor(at / n)).alias(BATCH), (at % n).alias(POS))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    meta = groups.select("first", "rows", "lo", "hi", "path", "steps", part)
     batch = F.col("first") + F.col("part")
-    return Batches(data, meta.select(batch.alias("batch"), batch.alias("rank"), F.least(F.lit(n), F.col("rows") - F.col("part") * n).cast("long").alias("rows"), "lo", "hi", "path"))
+    return Batches(data, meta.select(batch.alias("batch"), batch.alias("rank"), F.least(F.lit(n), F.col("rows") - F.col("part") * n).cast("long").alias("rows"), "lo", "hi", "path", "steps"))
 
 
 def islands(meta: DataFrame) -> DataFrame:
     """meta with comp: numbers of the sets of batches that overlapping origin intervals connect."""
-    w = _all().orderBy("lo", F.desc("hi"), "rank")
-    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = meta.withColumn("fresh", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0))
-    return fresh.withColumn("comp", (F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("long")).drop("fresh")
+    block = F.floor(F.col("lo") / BLOCK)
+    w = Window.partitionBy("__block").orderBy("lo", F.desc("hi"), "rank")
+    out = _carried(meta, block, {"__hi": F.max("hi")}, {"__hi": F.max("__hi")})
+    reach = F.greatest("__hi", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    out = out.withColumn("__fresh", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)).drop("__hi", "__block")
+    out = _carried(out, block, {"__n": F.sum("__fresh")}, {"__n": F.sum("__n")})
+    here = F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("comp", (F.coalesce("__n", F.lit(0)) + here - 1).cast("long")).drop("__fresh", "__block", "__n")
 
 
 def common_origin(branches: list[Batches], columns: list[str]) -> Batches:
@@ -173,15 +212,15 @@ def common_origin(branches: list[Batches], columns: list[str]) -> Batches:
     data, meta = _together(branches, columns)
     if all(b.aligned for b in branches):
         meta = meta.withColumn("comp", F.col("lo"))
-        data = data.withColumns({"comp": F.col(BATCH), "brank": F.col(BATCH)})
+        data = data.withColumns({"__comp": F.col(BATCH), "__brank": F.col(BATCH)})
     else:
         meta = islands(meta)
-        place = meta.select(F.col(SRC).alias("s2"), F.col("batch").alias("b2"), "comp", F.col("rank").alias("brank"))
-        data = data.join(place, (F.col(SRC) == F.col("s2")) & (F.col(BATCH) == F.col("b2")))
-    pos = (F.row_number().over(Window.partitionBy("comp").orderBy(SRC, "brank", POS)) - 1).cast("long")
-    data = data.select(*columns, F.col("comp").alias(BATCH), pos.alias(POS))
-    out = meta.groupBy("comp").agg(F.sum("rows").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), _longest())
-    return Batches(data, out.select(F.col("comp").alias("batch"), F.col("comp").alias("rank"), "rows", "lo", "hi", "path"), None, all(b.aligned for b in branches))
+        place = meta.select(F.col(SRC).alias("__s2"), F.col("batch").alias("__b2"), F.col("comp").alias("__comp"), F.col("rank").alias("__brank"))
+        data = data.join(place, (F.col(SRC) == F.col("__s2")) & (F.col(BATCH) == F.col("__b2")))
+    pos = (F.row_number().over(Window.partitionBy("__comp").orderBy(SRC, "__brank", POS)) - 1).cast("long")
+    data = data.select(*columns, F.col("__comp").alias(BATCH), pos.alias(POS))
+    out = meta.groupBy("comp").agg(*_merged())
+    return Batches(data, out.select(F.col("comp").alias("batch"), F.col("comp").alias("rank"), "rows", "lo", "hi", "path", "steps"), None, all(b.aligned for b in branches))
 
 
 def expression(e: Column | str) -> Column:

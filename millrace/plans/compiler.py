@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import DataFrame, SparkSession
@@ -36,20 +38,35 @@ class TimesParam(AccumulatorParam):
 class Compiled:
     """The frames of a graph. Batch ids and order are only computed where something asks for them."""
 
-    def __init__(self, spark: SparkSession, graph: PipelineGraph, source: Source, *, max_batches: int | None = None, storage: Storage | None = None, times=None):
+    def __init__(self, spark: SparkSession, graph: PipelineGraph, source: Source, *, max_batches: int | None = None, storage: Storage | None = None, times=None, profile=None):
+        """profile: from a task's Resources, the resource profile of its stage or None."""
+        self.profile = profile
         self.spark, self.graph, self.source, self.max_batches = spark, graph, source, max_batches
         self.storage = storage or Storage()
         self.times = times
-        self.columns = graph.validate(source.schema(spark))
+        schema = source.schema(spark)
+        batching.refuse_reserved(schema.fieldNames(), "the source")
+        for node in graph.nodes():
+            batching.refuse_reserved(node.task.produces.fieldNames(), f"task '{node.name}'")
+        self.columns = graph.validate(schema)
         self._nodes: dict[int, Batches] = {}
         self._source: Batches | None = None
         self._plain: dict[int, DataFrame] = {}
+        self._read_by: list[tuple[int, DataFrame]] = []  # sinks, and what is kept for them
+
+    def release(self, sink: int) -> None:
+        """The sink's rows have been read: what no other sink still needs goes."""
+        for _, df in (x for x in self._read_by if x[0] == sink):
+            self.storage.release(df)
+        self._read_by = [x for x in self._read_by if x[0] != sink]
 
     def _rooted(self) -> Batches:
         if self._source is None:
             self._source, held = self.source.batches(self.spark, self.max_batches)
+            sinks = [n.index for n in self.graph.sink_nodes()]
             for df in held:
-                self.storage.hold(df)
+                self.storage.hold(df, max(1, len(sinks)))
+                self._read_by += [(s, df) for s in sinks]
         return self._source
 
     def _bounded_below(self, i: int) -> bool:
@@ -91,7 +108,7 @@ class Compiled:
         branches = [self.batches(p) for p in before] or [self._rooted()]
         names = self._common(before, branches[0].columns) if before else branches[0].columns
         if task.mode.max_rows:
-            formed = batching.max_rows(branches, names, task.mode.max_rows)
+            formed = self.accumulated(i, branches, names)
         elif task.mode.kind == "common_origin" and len(before) > 1:
             formed = batching.common_origin(branches, names)
         else:
@@ -104,13 +121,19 @@ class Compiled:
             readers = len(self.graph.successors(i))
             counts = self._bounded_below(i)
             if readers > 1 or counts:  # else every reader would run the function again
-                data = self.storage.keep(data, max(1, readers))
+                sinks = [n.index for n in self.graph.sink_nodes() if n.index == i or n.index in self.graph._reach(i, self.graph.successors)]
+                data = self.storage.keep(data, max(1, len(sinks)))
+                self._read_by += [(s, data) for s in sinks]
             out = Batches(data, formed.meta, None, formed.aligned)
             out = batching.recounted(out)
         self._checked(i, out.data.drop(BATCH, POS), formed.data.drop(BATCH, POS))
         self._nodes[i] = batching.executed(out, task.name)
         return self._nodes[i]
 
+    def accumulated(self, i: int, branches: list[Batches], names: list[str]) -> Batches:
+        """What a task that accumulates rows gets: all groups, also the last."""
+        return batching.max_rows(branches, names, self.graph.task(i).mode.max_rows)
+
     def _checked(self, i: int, df: DataFrame, before: DataFrame) -> DataFrame:
         """The frame, if it has the columns that the contracts say."""
         have = ColumnSet.of(df.schema)
@@ -143,7 +166,37 @@ class Compiled:
             # Batches without rows reach the function as a mark.
             empty = formed.meta.where("rows = 0").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in formed.data.schema.fields if f.name not in (BATCH, POS)), F.col("batch").alias(BATCH), F.lit(-1).cast("long").alias(POS))
             data = data.unionByName(empty)
-        return data.groupBy(BATCH).applyInArrow(run, schema)
+        # A batch's rows come together and in order.
+        return data.repartition(BATCH).sortWithinPartitions(BATCH, POS).mapInArrow(_each(run), schema, False, self.profile(task.resources) if self.profile else None)
+
+
+def _each(run: Callable[[pa.Table], pa.Table], gather: int = 1 << 14):
+    """run on each batch of a partition, whose rows lie together; small results go out together."""
+
+    def go(parts):
+        held: list[pa.Table] = []  # of the last batch, which may go on
+        out: list[pa.Table] = []
+        size = 0
+        for part in parts:
+            if not part.num_rows:
+                continue
+            key = part.column(BATCH).to_numpy()
+            cuts = [0, *(np.nonzero(np.diff(key))[0] + 1).tolist(), len(key)]
+            for a, b in itertools.pairwise(cuts):
+                if held and held[0].column(BATCH)[0].as_py() != key[a]:
+                    out.append(run(pa.concat_tables(held)))
+                    size += out[-1].num_rows + 1
+                    held = []
+                held.append(pa.Table.from_batches([part.slice(a, b - a)]))
+            if size > gather:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+                out, size = [], 0
+        if held:
+            out.append(run(pa.concat_tables(held)))
+        if out:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+
+    return go
 
 
 def _wrapped(task: Task, schema: T.StructType, times) -> Callable[[pa.Table], pa.Table]:
@@ -152,7 +205,6 @@ def _wrapped(task: Task, schema: T.StructType, times) -> Callable[[pa.Table], pa
     name, fn = task.name, task.run
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(POS)
         batch = table.column(BATCH)[0].as_py()
         inside = table.filter(pa.compute.greater_equal(table.column(POS), 0)).drop_columns([BATCH, POS])
         began = time.perf_counter_ns()

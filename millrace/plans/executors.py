@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import re
 import time
 import warnings
 from collections.abc import Iterator
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.operators.batching import BATCH, POS
-from millrace.plans.compiler import Compiled, TimesParam
+from millrace.plans.compiler import Compiled, TimesParam, _each
 from millrace.plans.graph import PipelineGraph
 from millrace.plans.storage import Storage
 from millrace.plans.task import Resources
@@ -23,8 +23,10 @@ from millrace.sources.frames import Source
 
 
 def resource_profile(spark: SparkSession, need: Resources) -> ResourceProfile | None:
-    """What a task asks for, where the cluster manager has such profiles; elsewhere a warning and None."""
-    if spark.sparkContext.master.startswith("local"):
+    """What a task asks for beyond one CPU, where the cluster manager has such profiles; elsewhere a warning and None."""
+    if need.cpus <= 1 and not need.gpus and not need.custom:
+        return None
+    if re.match(r"local($|\[)", spark.sparkContext.master):
         if need.gpus or need.custom:
             warnings.warn("resource profiles need a cluster; running without", stacklevel=2)
         return None
@@ -34,6 +36,16 @@ def resource_profile(spark: SparkSession, need: Resources) -> ResourceProfile |
     return ResourceProfileBuilder().require(ask).build
 
 
+def _pack(table: pa.Table) -> pa.Table:
+    rows, sink = table.drop_columns([BATCH, POS]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as w:
+        w.write_table(rows)
+    return pa.table({"__b2": table.column(BATCH).slice(0, 1), "__ipc": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+_each_packed = _each(_pack, 64)
+
+
 class PipelineRun:
     """A compiled graph. Nothing runs until a frame, the batches or the outputs are read."""
 
@@ -66,31 +78,34 @@ class PipelineRun:
         return out
 
     def outputs(self) -> Iterator[OutputBatch]:
-        """The sinks' batches, sink by sink in canonical order, a partition at a time; empty batches too."""
-        for node in self.graph.sink_nodes():
+        """The sinks' batches, each as soon as its first source batch's turn comes (ties: by sink, then canonical order); empty batches too.
+
+        Workers pack each batch as Arrow; the driver holds a partition of batches at a time. What was kept for the sinks goes at the end.
+        """
+        sinks, out, schemas = self.graph.sink_nodes(), None, []
+        for k, node in enumerate(sinks):
             b = self.compiled.batches(node.index)
+            schemas.append(to_arrow_schema(b.data.drop(BATCH, POS).schema))
+            packed = b.data.repartition(BATCH).sortWithinPartitions(BATCH, POS).mapInArrow(_each_packed, "__b2 bigint, __ipc binary")
+            one = b.meta.join(packed, F.col("batch") == F.col("__b2"), "left").select(F.lit(k).alias("sink"), "rank", "batch", "lo", "hi", "path", "steps", "__ipc")
+            out = one if out is None else out.unionByName(one)
+        began = time.perf_counter_ns()
+        for m in out.orderBy("lo", "sink", "rank").toLocalIterator():
+            data = schemas[m.sink].empty_table() if m["__ipc"] is None else pa.ipc.open_stream(m["__ipc"]).read_all().cast(schemas[m.sink])
+            wall = time.perf_counter_ns() - began
+            own = m.path[-1].exec_id if m.path else None
+            steps = {s.exec_id: PathStep(s.exec_id, s.task, self._exec_ns(s.task, s.batch), wall if s.exec_id == own else 0) for s in m.steps}
+            yield OutputBatch(data, sinks[m.sink].name, Lineage(tuple(range(m.lo, m.hi + 1)), tuple(steps[s.exec_id] for s in m.path), tuple(steps.values())))
             began = time.perf_counter_ns()
-            ranked = b.data.join(b.meta.select(F.col("batch").alias("b2"), F.col("rank").alias("__rank")), F.col(BATCH) == F.col("b2")).drop("b2", BATCH)
-            schema = to_arrow_schema(b.data.drop(BATCH, POS).schema)
-            rows = itertools.groupby(ranked.orderBy("__rank", POS).toLocalIterator(), key=lambda r: r["__rank"])
-            group = next(rows, None)
-            for m in b.meta.orderBy("rank").toLocalIterator():
-                here = []
-                if group is not None and group[0] == m.rank:
-                    here = [r.asDict() for r in group[1]]
-                    group = next(rows, None)
-                data = pa.table({f.name: pa.array([r[f.name] for r in here], f.type) for f in schema}, schema=schema)
-                wall = time.perf_counter_ns() - began
-                steps = tuple(PathStep(s.exec_id, s.task, self._exec_ns(s.task, m.batch, s is m.path[-1]), wall if s is m.path[-1] else 0) for s in m.path)
-                yield OutputBatch(data, node.name, Lineage(tuple(range(m.lo, m.hi + 1)), steps))
-                began = time.perf_counter_ns()
-
-    def _exec_ns(self, task: str, batch: int, own: bool) -> int:
-        times = self._times.value if self._times is not None else {}
-        if own:
-            return times.get((task, batch), 0)
-        mine = [ns for (t, _), ns in times.items() if t == task]
-        return sum(mine) // len(mine) if mine else 0
+        for node in sinks:
+            self.compiled.release(node.index)
+
+    def release(self, task: str) -> None:
+        """The sink's rows have been read: what was kept for it, and for no other sink still to be read, goes."""
+        self.compiled.release(self.graph.index_of(task))
+
+    def _exec_ns(self, task: str, batch: int) -> int:
+        return self._times.value.get((task, batch), 0) if self._times is not None else 0
 
     def tracker(self) -> PipelineTracker:
         return PipelineTracker(n.name for n in self.graph.nodes())
@@ -119,11 +134,11 @@ class Executor:
     def run(self, graph: PipelineGraph, source: Source) -> PipelineRun:
         """Validates before anything is read."""
         times = self.spark.sparkContext.accumulator({}, TimesParam()) if self.timed else None
-        return PipelineRun(Compiled(self.spark, graph, source, max_batches=self.max_batches, storage=Storage(self.storage), times=times), times)
+        return PipelineRun(Compiled(self.spark, graph, source, max_batches=self.max_batches, storage=Storage(self.storage), times=times, profile=lambda need: resource_profile(self.spark, need)), times)
 
 
 class LocalExecutor(Executor):
-    """One thread."""
+    """A session of one thread; on a given session it runs as that one does."""
 
     @staticmethod
     def session(**conf: str) -> SparkSession:
@@ -131,7 +146,7 @@ class LocalExecutor(Executor):
 
 
 class ThreadExecutor(Executor):
-    """As many threads as CPU slots."""
+    """A session of as many threads as CPU slots; on a given session it runs as that one does."""
 
     @staticmethod
     def session(cpus: int | None = None, **conf: str) -> SparkSession:
@@ -139,7 +154,7 @@ class ThreadExecutor(Executor):
 
 
 class ClusterExecutor(Executor):
-    """The session's cluster; what tasks share is kept on disk, and cpus beyond one need a resource profile."""
+    """The session's cluster; what tasks share is kept on disk. Batch tasks run with the resource profile that their Resources ask for."""
 
     def __init__(self, spark: SparkSession, **more):
         super().__init__(spark, **{"storage": "disk", **more})

@@ -22,10 +22,11 @@ class PathStep:
 
 @dataclass(frozen=True)
 class Lineage:
-    """The source batches that an output stems from, and the longest way of executions to it."""
+    """The source batches that an output stems from, the longest way of executions to it, and all executions that it stems from."""
 
     origins: tuple[int, ...]
     path: tuple[PathStep, ...]
+    steps: tuple[PathStep, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -71,7 +72,7 @@ class PipelineTracker:
 
     def update(self, output: OutputBatch) -> None:
         self._sinks += 1
-        for step in output.lineage.path:
+        for step in output.lineage.steps or output.lineage.path:
             if step.exec_id in self._seen:
                 continue
             self._seen.add(step.exec_id)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.batching import BATCH, META, POS, Batches, Uniform, expression, numbered, uniform_meta
+from millrace.operators.batching import BATCH, META, POS, Batches, Uniform, expression, no_steps, numbered, uniform_meta
 
 
 class Source:
@@ -53,13 +53,13 @@ class FrameSource(Source):
             return Batches(data, uniform_meta(spark, self.batch_size, total, most), Uniform(self.batch_size, total), True), [held]
         keyed = self.df.withColumn("__key", expression(self.batch_by))
         # A row for each batch.
-        keys = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("rows")).withColumn("batch", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__key")) - 1).cast("long"))
+        keys, _, held = numbered(keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("rows")), ["__key"], "batch")
         keys = keys if most is None else keys.where(F.col("batch") < most)
         pos = (F.row_number().over(Window.partitionBy(BATCH).orderBy(*order)) - 1).cast("long")
-        data = keyed.join(keys.select("__key", F.col("batch").alias(BATCH)), keyed["__key"].eqNullSafe(keys["__key"])).drop("__key").withColumn(POS, pos)
+        named = keys.select(F.col("__key").alias("__key2"), F.col("batch").alias(BATCH))
+        data = keyed.join(named, F.col("__key").eqNullSafe(F.col("__key2"))).drop("__key", "__key2").withColumn(POS, pos)
         b = F.col("batch")
-        meta = keys.select(b, b.alias("rank"), "rows", b.alias("lo"), b.alias("hi"), F.array().cast("array<struct<task:string,exec_id:bigint>>").alias("path"))
-        return Batches(data, meta, None, True), []
+        return Batches(data, keys.select(b, b.alias("rank"), "rows", b.alias("lo"), b.alias("hi"), *no_steps()), None, True), [held]
 
 
 @dataclass
@@ -108,7 +108,7 @@ class GeneratorSource(Source):
             if len(tables) == most:
                 break
         data = spark.createDataFrame(pa.concat_tables(tables)) if tables else spark.createDataFrame([], T.StructType([*self.produces.fields, T.StructField(BATCH, T.LongType()), T.StructField(POS, T.LongType())]))
-        meta = spark.createDataFrame([(i, i, n, i, i, []) for i, n in enumerate(sizes)], META)
+        meta = spark.createDataFrame([(i, i, n, i, i, [], []) for i, n in enumerate(sizes)], META)
         return Batches(data, meta, None, True), []
 
 

@@ -1,17 +1,20 @@
 """Graphs over streams: every micro-batch is a source batch, its number the origin.
 
 Whatever a graph with Passthrough and CommonOrigin makes of a source batch depends on that batch alone, so micro-batches are compiled
-and run like batches. Before a task that accumulates up to n rows, whole micro-batches wait in a table in the shared folder: each epoch
-writes a table anew from the one before it, so that an epoch that runs again gives the same.
+and run like batches. Before a task that accumulates up to n rows, whole batches wait in a table in the shared folder until the next one
+doesn't fit: each epoch writes that table anew from the one before it, so that an epoch that runs again gives the same. finish() lets
+what waits at the end go.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.batching import BATCH, POS, Batches, next_fit
+from millrace.operators.batching import BATCH, META, POS, Batches, max_rows, next_fit, no_steps, numbered, passthrough, ranked
 from millrace.plans.compiler import Compiled
 from millrace.plans.errors import GraphError
 from millrace.plans.graph import PipelineGraph
@@ -19,120 +22,125 @@ from millrace.plans.storage import Storage
 from millrace.sources.frames import Source
 
 
+@dataclass
+class FileStream:
+    """Files of a folder as a stream, as many in a micro-batch as the buffer says: what a slow graph leaves unread waits in the folder."""
+
+    path: str
+    columns: T.StructType
+    buffer: int = 16
+    format: str = "parquet"
+
+    def with_source_buffer(self, n: int) -> FileStream:
+        if n < 1:
+            raise ValueError("a source buffer holds at least one file")
+        self.buffer = n
+        return self
+
+    def load(self, spark: SparkSession, **options: str) -> DataFrame:
+        return spark.readStream.format(self.format).schema(self.columns).options(**options).option("maxFilesPerTrigger", self.buffer).load(self.path)
+
+
 class _Epoch(Source):
-    """One micro-batch as a source of one batch."""
+    """One micro-batch as a source of one batch; without a frame, no batch."""
 
-    def __init__(self, df: DataFrame, epoch: int, order_by: list[str]):
-        self.df, self.epoch, self.order_by = df, epoch, order_by
+    def __init__(self, df: DataFrame | None, columns: T.StructType, epoch: int, order_by: list[str]):
+        self.df, self.columns, self.epoch, self.order_by = df, columns, epoch, order_by
 
     def schema(self, spark):
-        return self.df.schema
+        return self.columns
 
     def rows(self, spark):
-        return self.df
+        return spark.createDataFrame([], self.columns) if self.df is None else self.df
 
     def batches(self, spark, most=None):
-        w = Window.partitionBy(BATCH).orderBy(*self.order_by) if self.order_by else Window.partitionBy(BATCH).orderBy(F.monotonically_increasing_id())
-        data = self.df.withColumn(BATCH, F.lit(self.epoch).cast("long")).withColumn(POS, (F.row_number().over(w) - 1).cast("long"))
-        n = data.groupBy().agg(F.count(F.lit(1)).alias("rows"))
+        rows, total, held = numbered(self.rows(spark), self.order_by or [F.monotonically_increasing_id()], POS)
+        data = rows.withColumn(BATCH, F.lit(self.epoch).cast("long"))
         e = F.lit(self.epoch).cast("long")
-        meta = n.select(e.alias("batch"), e.alias("rank"), "rows", e.alias("lo"), e.alias("hi"), F.array().cast("array<struct<task:string,exec_id:bigint>>").alias("path"))
-        return Batches(data, meta, None, True), []
+        meta = spark.range(0 if self.df is None else 1).select(e.alias("batch"), e.alias("rank"), F.lit(total).cast("long").alias("rows"), e.alias("lo"), e.alias("hi"), *no_steps())
+        return Batches(data, meta, None, True), [held]
+
+
+class _StreamCompiled(Compiled):
+    """A graph's frames for one epoch. Groups that may still grow stay in the runner's folder."""
+
+    def __init__(self, runner: StreamRunner, spark: SparkSession, source: _Epoch, last: bool):
+        super().__init__(spark, runner.graph, source, storage=Storage("memory"))
+        self.runner, self.epoch, self.last = runner, source.epoch, last
+
+    def row_local(self, i):
+        return not self.runner.batched and super().row_local(i)
+
+    def accumulated(self, i, branches, names):
+        n, spark = self.graph.task(i).mode.max_rows, self.spark
+        new = passthrough(branches, names)
+        at = f"{self.runner.folder}/_waiting/{i}"
+        waits = self.runner.exists(f"{at}/{self.epoch - 1}/next")
+        read = lambda name, schema: spark.read.schema(schema).parquet(f"{at}/{self.epoch - 1}/{name}") if waits else spark.createDataFrame([], schema)
+        data = new.data.select(*names, BATCH, POS)
+        data = data.unionByName(read("data", data.schema))
+        meta = ranked(new.meta.unionByName(read("meta", META)), ["lo", "batch"])
+        first = (read("next", "next bigint").first() or [0])[0]
+        folded = self.storage.keep(next_fit(meta, n), 1)
+        open_ = None if self.last else folded.agg(F.max("group")).first()[0]
+        full = folded if open_ is None else folded.where(F.col("group") < open_)
+        of = lambda some: data.join(some.select(F.col("batch").alias("__b2")), F.col(BATCH) == F.col("__b2"), "left_semi")
+        out = max_rows([Batches(of(full), full.drop("group"))], names, n)
+        n_out = out.meta.count()
+        if not self.last:
+            wait = folded.where(F.col("group") == open_) if open_ is not None else folded.where("false")
+            of(wait).write.mode("overwrite").parquet(f"{at}/{self.epoch}/data")
+            wait.drop("group").write.mode("overwrite").parquet(f"{at}/{self.epoch}/meta")
+            spark.createDataFrame([(first + n_out,)], "next bigint").write.mode("overwrite").parquet(f"{at}/{self.epoch}/next")
+            # An epoch may run again, and then needs what waited before it; older tables aren't read again.
+            self.runner.remove(f"{at}/{self.epoch - 2}")
+        moved = {"batch": F.col("batch") + first, "rank": F.col("rank") + first}
+        return Batches(out.data.withColumn(BATCH, F.col(BATCH) + first), out.meta.withColumns(moved))
 
 
 class StreamRunner:
     """Runs a graph over a stream into a folder for each sink: its columns, and epoch, the micro-batch that wrote them.
 
-    order_by: columns that order the rows of a micro-batch, for tasks that see positions.
+    order_by: columns that order the rows of a micro-batch, for tasks that see positions. batched: __batch and __pos are written too.
     """
 
-    def __init__(self, spark: SparkSession, graph: PipelineGraph, folder: str, *, order_by: list[str] | None = None):
-        if any(n.task.mode.max_rows for n in graph.nodes()):
-            raise GraphError("tasks that accumulate rows run over streams by accumulate()")
-        self.spark, self.graph, self.folder, self.order_by = spark, graph, folder.rstrip("/"), order_by or []
+    def __init__(self, spark: SparkSession, graph: PipelineGraph, folder: str, *, order_by: list[str] | None = None, batched: bool = False):
+        for n in graph.nodes():
+            below = graph._reach(n.index, graph.successors)
+            if n.task.mode.max_rows and any(graph.task(j).mode.kind == "common_origin" and len(graph.predecessors(j)) > 1 for j in below):
+                raise GraphError("over a stream, no task may wait for the common origins of groups that are still open")
+        self.spark, self.graph, self.folder, self.order_by, self.batched = spark, graph, folder.rstrip("/"), order_by or [], batched
+
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def exists(self, path: str) -> bool:
+        fs, at = self._fs(path)
+        return fs.exists(at)
+
+    def remove(self, path: str) -> None:
+        fs, at = self._fs(path)
+        fs.delete(at, True)
 
     def path(self, sink: str) -> str:
         return f"{self.folder}/{sink}"
 
-    def _write(self, df: DataFrame, epoch: int) -> None:
-        compiled = Compiled(df.sparkSession, self.graph, _Epoch(df, epoch, self.order_by), storage=Storage("memory"))
+    def _run(self, spark: SparkSession, source: _Epoch, last: bool) -> None:
+        compiled = _StreamCompiled(self, spark, source, last)
         for n in self.graph.sink_nodes():
-            compiled.frame(n.index).write.mode("overwrite").parquet(f"{self.path(n.name)}/epoch={epoch}")
+            df = compiled.batches(n.index).data if self.batched else compiled.frame(n.index)
+            df.write.mode("overwrite").parquet(f"{self.path(n.name)}/epoch={source.epoch}")
         compiled.storage.release_all()
 
     def start(self, stream: DataFrame, **trigger):
         self.graph.validate(stream.schema)
-        return stream.writeStream.foreachBatch(self._write).option("checkpointLocation", f"{self.folder}/_progress").trigger(**(trigger or {"availableNow": True})).start()
+        run = lambda df, epoch: self._run(df.sparkSession, _Epoch(df, stream.schema, epoch, self.order_by), False)
+        return stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{self.folder}/_progress").trigger(**(trigger or {"availableNow": True})).start()
+
+    def finish(self, epoch: int, columns: T.StructType) -> None:
+        """Groups that still wait after the last epoch go, as one epoch more; run again, it's the same."""
+        self._run(self.spark, _Epoch(None, columns, epoch + 1, self.order_by), True)
 
     def read(self, sink: str) -> DataFrame:
         return self.spark.read.parquet(self.path(sink))
-
-
-class Accumulator:
-    """Next-fit accumulation of a stream's whole micro-batches up to n rows; groups leave when the next batch doesn't fit.
-
-    Groups are written to folder/out with __group, a number, and __pos, a row's place; finish() writes the open group. A micro-batch of
-    more than n rows leaves in parts of n.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, n: int, order_by: list[str]):
-        if n < 1:
-            raise ValueError(f"MaxRows({n}) is invalid: batch size must be >= 1")
-        self.spark, self.folder, self.n, self.order_by = spark, folder.rstrip("/"), n, order_by
-
-    def _fs(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def _waiting(self, epoch: int, schema: T.StructType) -> DataFrame:
-        """What waits before an epoch: (columns, epoch, pos, next), next being the next group's number."""
-        fs, at = self._fs(f"{self.folder}/waiting/{epoch - 1}")
-        more = T.StructType([*schema.fields, T.StructField("__epoch", T.LongType()), T.StructField("__pos", T.LongType()), T.StructField("__next", T.LongType())])
-        return self.spark.read.schema(more).parquet(f"{self.folder}/waiting/{epoch - 1}") if fs.exists(at) else self.spark.createDataFrame([], more)
-
-    def _grouped(self, df: DataFrame) -> DataFrame:
-        """Groups of what waits, each epoch whole."""
-        sizes = df.groupBy("__epoch").agg(F.count(F.lit(1)).alias("rows")).withColumn("rank", F.col("__epoch"))
-        groups = next_fit(sizes, self.n).select(F.col("__epoch").alias("__e2"), F.col("group").alias("__group"), F.col("rows").alias("__rows"))
-        before = F.sum("__rows").over(Window.partitionBy("__group").orderBy("__e2").rowsBetween(Window.unboundedPreceding, -1))
-        groups = groups.withColumn("__before", F.coalesce(before, F.lit(0)))
-        return df.join(groups, F.col("__epoch") == F.col("__e2")).withColumn("__at", F.col("__before") + F.col("__pos"))
-
-    def _write(self, df: DataFrame, epoch: int) -> None:
-        w = Window.partitionBy(F.lit(epoch)).orderBy(*self.order_by)
-        new = df.withColumns({"__epoch": F.lit(epoch).cast("long"), "__pos": (F.row_number().over(w) - 1).cast("long"), "__next": F.lit(None).cast("long")})
-        old = self._waiting(epoch, df.schema)
-        after = int(old.agg(F.max("__next")).first()[0] or 0)
-        if not df.limit(1).count():
-            old.write.mode("overwrite").parquet(f"{self.folder}/waiting/{epoch}")
-            return
-        grouped = self._grouped(old.unionByName(new)).persist()
-        last = grouped.agg(F.max("__group")).first()[0]
-        full = grouped.where(F.col("__group") < last)
-        parts = self._parts(full, after, df.columns).persist()
-        written = parts.agg(F.max("__group")).first()[0]
-        parts.write.mode("overwrite").parquet(f"{self.folder}/out/epoch={epoch}")
-        after = after if written is None else written + 1
-        grouped.where(F.col("__group") == last).select(*df.columns, "__epoch", "__pos", F.lit(after).cast("long").alias("__next")).write.mode("overwrite").parquet(f"{self.folder}/waiting/{epoch}")
-        parts.unpersist()
-        grouped.unpersist()
-
-    def _parts(self, grouped: DataFrame, first: int, columns: list[str]) -> DataFrame:
-        """Groups of more than n rows in parts; numbers go on from first."""
-        rows = grouped.withColumn("__part", F.floor(F.col("__at") / self.n))
-        number = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("__group", "__part")) - 1 + first
-        # The numbers are of groups, few against rows.
-        ids = rows.select("__group", "__part").distinct().withColumn("__id", number.cast("long"))
-        return rows.join(ids, ["__group", "__part"]).select(*columns, F.col("__id").alias("__group"), (F.col("__at") % self.n).cast("long").alias("__pos"))
-
-    def start(self, stream: DataFrame, **trigger):
-        return stream.writeStream.foreachBatch(self._write).option("checkpointLocation", f"{self.folder}/_progress").trigger(**(trigger or {"availableNow": True})).start()
-
-    def finish(self, epoch: int, schema: T.StructType) -> None:
-        """Writes what still waits after the last epoch; written again, it's the same."""
-        old = self._waiting(epoch + 1, schema)
-        after = int(old.agg(F.max("__next")).first()[0] or 0)
-        self._parts(self._grouped(old), after, schema.fieldNames()).write.mode("overwrite").parquet(f"{self.folder}/out/epoch={epoch + 1}")
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/out")

@@ -1,6 +1,7 @@
 """Batch formation against plain Python models of its rules."""
 
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -44,7 +45,7 @@ def fit(rows, n):
 
 def meta_of(spark, rows, spans=None):
     spans = spans or [(i, i) for i in range(len(rows))]
-    return spark.createDataFrame([(i, i, r, a, b, []) for i, (r, (a, b)) in enumerate(zip(rows, spans))], META)
+    return spark.createDataFrame([(i, i, r, a, b, [], []) for i, (r, (a, b)) in enumerate(zip(rows, spans))], META)
 
 
 def test_next_fit_random(spark):
@@ -238,3 +239,117 @@ def test_storage_policies_agree(spark, policy):
 def test_resource_profiles_need_a_cluster(spark):
     with pytest.warns(UserWarning):
         assert resource_profile(spark, Resources(gpus=1)) is None
+
+
+CLASHING = ("comp", "brank", "group", "first", "offset", "b2", "s2", "rank", "rows", "lo", "hi", "path", "batch", "steps", "place", "part")
+
+
+@pytest.mark.parametrize(("mode", "b"), [(COMMON_ORIGIN, None), (COMMON_ORIGIN, MaxRows(2)), (MaxRows(3), None), (MaxRows(3), MaxRows(4)), (None, None)])
+def test_columns_may_have_any_name(spark, mode, b):
+    df = spark.range(5).selectExpr("id", *(f"id * 100 + {k} as `{c}`" for k, c in enumerate(CLASHING)))
+    run = LocalExecutor(spark).run(diamond(mode, b), FrameSource(df, "id", 1))
+    want = sorted([i, *(i * 100 + k for k in range(len(CLASHING)))] for i in range(5) for _ in range(2))
+    assert sorted(list(r) for r in run.frame("merge").select("id", *CLASHING).collect()) == want
+    outs = [dict(zip(o.data.schema.names, c, strict=True)) for o in run.outputs() for c in zip(*(x.to_pylist() for x in o.data.columns), strict=True)]
+    assert sorted([r["id"], *(r[c] for c in CLASHING)] for r in outs) == want
+
+
+def test_the_engine_keeps_its_own_names(spark):
+    with pytest.raises(SchemaMismatch, match="__pos"):
+        LocalExecutor(spark).run(chain(Task.passthrough("a")), FrameSource(spark.range(2).selectExpr("id", "id as __pos"), "id"))
+    with pytest.raises(SchemaMismatch, match="__x"):
+        LocalExecutor(spark).run(chain(Task.columns("a", "__x bigint", {"__x": "id"})), RangeSource(3))
+
+
+def test_blocks_carry_ranks_and_sums(spark, monkeypatch):
+    # With blocks of three, every prefix scan crosses many of them.
+    monkeypatch.setattr("millrace.operators.batching.BLOCK", 3)
+    test_max_rows_places_rows_random(spark)
+    test_islands_random(spark)
+    run = LocalExecutor(spark, max_batches=11).run(diamond(None), RangeSource())
+    assert [(r["rank"], r.origins) for r in run.batches("merge").orderBy("rank").collect()] == [(i, [i // 2]) for i in range(22)]
+
+
+def test_no_task_orders_all_batches(spark):
+    """Windows without a key only see a row for each block."""
+    run = LocalExecutor(spark).run(diamond(MaxRows(3)), FrameSource(spark.range(10), "id", 2))
+    plan = run.compiled.batches(3).meta._jdf.queryExecution().analyzed().toString()
+    assert set(re.findall(r"windowspecdefinition\(0, (\w+)#", plan)) == {"__b"}
+
+
+def test_sinks_take_turns(spark):
+    g = PipelineGraph()
+    top = g.add_task(Task.passthrough("top"))
+    g.add_fan_out(top, [Task.passthrough("a"), Task.passthrough("b").with_mode(MaxRows(2))])
+    run = LocalExecutor(spark, max_batches=4).run(g, RangeSource())
+    assert [(o.task, o.lineage.origins) for o in run.outputs()] == [("a", (0,)), ("b", (0, 1)), ("a", (1,)), ("a", (2,)), ("b", (2, 3)), ("a", (3,))]
+
+
+def test_what_is_kept_goes_with_its_last_sink(spark):
+    g = PipelineGraph()
+    top = g.add_task(Task.passthrough("top", lambda t: t))
+    g.add_fan_out(top, [Task.passthrough("x"), Task.passthrough("y")])
+    run = LocalExecutor(spark).run(g, FrameSource(spark.range(10), "id", 2))
+    assert run.frame("x").count() == run.frame("y").count() == 10
+    kept = run.compiled.storage.kept
+    run.release("x")
+    assert run.compiled.storage.kept == kept > 0
+    run.release("y")
+    assert run.compiled.storage.kept == 0
+    run = LocalExecutor(spark).run(g, FrameSource(spark.range(10), "id", 2))
+    assert len(list(run.outputs())) == 10 and run.compiled.storage.kept == 0
+
+
+def test_a_tracker_counts_the_ways_that_merge(spark):
+    run = LocalExecutor(spark, max_batches=4, timed=True).run(diamond(COMMON_ORIGIN), RangeSource())
+    tracker = run.tracker()
+    for o in run.outputs():
+        tracker.update(o)
+        assert [s.task for s in o.lineage.path] == ["top", "b", "merge"]
+    assert {t: s.runs for t, s in tracker.summary().tasks.items()} == {"top": 4, "b": 4, "c": 4, "merge": 4}
+
+
+def test_each_step_has_its_own_time(spark):
+    def slow(t):
+        import time
+
+        time.sleep(0.2 if t.column("id")[0].as_py() == 1 else 0)
+        return t
+
+    run = LocalExecutor(spark, max_batches=3, timed=True).run(chain(Task.passthrough("a", slow), Task.passthrough("b")), RangeSource())
+    times = [o.lineage.path[0].exec_ns for o in run.outputs()]
+    assert times[1] > 2e8 > max(times[0], times[2])
+
+
+def test_resources_reach_the_stage(tmp_path):
+    """On a cluster, a task that asks for two CPUs runs with a profile that says so."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import sys
+from pyspark.sql import SparkSession
+from pyspark import TaskContext
+import pyarrow as pa
+from millrace.shipping import ship
+from millrace.plans.executors import ClusterExecutor
+from millrace.plans.graph import PipelineGraph
+from millrace.plans.task import Resources, Task
+from millrace.sources.frames import FrameSource
+spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+ship(spark)
+def cpus(t):
+    return t.append_column("cpus", pa.array([TaskContext.get().cpus()] * t.num_rows, pa.int64()))
+g = PipelineGraph()
+g.add_linear([Task.batch("c", None, "cpus bigint", cpus).with_resources(Resources(cpus=2))])
+print("CPUS", {r.cpus for r in ClusterExecutor(spark).run(g, FrameSource(spark.range(4), "id", 2)).frame("c").collect()})
+spark.stop()
+"""
+    import pyspark
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root, "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_HOME": os.path.dirname(pyspark.__file__), "SPARK_WORKER_DIR": str(tmp_path), "PYSPARK_PYTHON": sys.executable}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=180, cwd=tmp_path)
+    assert "CPUS {2}" in out.stdout, out.stdout + out.stderr[-2000:]
