@@ -115,7 +115,7 @@ class Compiled:
             formed = batching.passthrough(branches, names)
         if task.body == "columns":
             data = self._column_task(task, formed.data)
-            out = Batches(data, formed.meta, formed.uniform, formed.aligned)
+            out = Batches(data, formed.meta, formed.uniform, formed.aligned, formed.origins)
         else:
             data = self._frame_task(task, formed.data) if task.body == "frame" else self._batch_task(i, task, formed)
             readers = len(self.graph.successors(i))
@@ -124,7 +124,7 @@ class Compiled:
                 sinks = [n.index for n in self.graph.sink_nodes() if n.index == i or n.index in self.graph._reach(i, self.graph.successors)]
                 data = self.storage.keep(data, max(1, len(sinks)))
                 self._read_by += [(s, data) for s in sinks]
-            out = Batches(data, formed.meta, None, formed.aligned)
+            out = Batches(data, formed.meta, None, formed.aligned, formed.origins)
             out = batching.recounted(out)
         self._checked(i, out.data.drop(BATCH, POS), formed.data.drop(BATCH, POS))
         self._nodes[i] = batching.executed(out, task.name)

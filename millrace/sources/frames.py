@@ -50,16 +50,16 @@ class FrameSource(Source):
             data = rows.withColumns({BATCH: F.floor(F.col("__rn") / self.batch_size), POS: F.col("__rn") % self.batch_size}).drop("__rn")
             if most is not None:
                 data, total = data.where(F.col(BATCH) < most), min(total, most * self.batch_size)
-            return Batches(data, uniform_meta(spark, self.batch_size, total, most), Uniform(self.batch_size, total), True), [held]
+            return Batches(data, uniform_meta(spark, self.batch_size, total, most), Uniform(self.batch_size, total), True, -(-total // self.batch_size)), [held]
         keyed = self.df.withColumn("__key", expression(self.batch_by))
         # A row for each batch.
-        keys, _, held = numbered(keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("rows")), ["__key"], "batch")
+        keys, total, held = numbered(keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("rows")), ["__key"], "batch")
         keys = keys if most is None else keys.where(F.col("batch") < most)
         pos = (F.row_number().over(Window.partitionBy(BATCH).orderBy(*order)) - 1).cast("long")
         named = keys.select(F.col("__key").alias("__key2"), F.col("batch").alias(BATCH))
         data = keyed.join(named, F.col("__key").eqNullSafe(F.col("__key2"))).drop("__key", "__key2").withColumn(POS, pos)
         b = F.col("batch")
-        return Batches(data, keys.select(b, b.alias("rank"), "rows", b.alias("lo"), b.alias("hi"), *no_steps()), None, True), [held]
+        return Batches(data, keys.select(b, b.alias("rank"), "rows", b.alias("lo"), b.alias("hi"), *no_steps()), None, True, total), [held]
 
 
 @dataclass
@@ -84,7 +84,7 @@ class RangeSource(Source):
     def batches(self, spark, most=None):
         n = self._n(most)
         data = self.rows(spark, most).withColumns({BATCH: F.col(self.column) - self.start, POS: F.lit(0).cast("long")})
-        return Batches(data, uniform_meta(spark, 1, n), Uniform(1, n), True), []
+        return Batches(data, uniform_meta(spark, 1, n), Uniform(1, n), True, n), []
 
 
 @dataclass
@@ -109,7 +109,7 @@ class GeneratorSource(Source):
                 break
         data = spark.createDataFrame(pa.concat_tables(tables)) if tables else spark.createDataFrame([], T.StructType([*self.produces.fields, T.StructField(BATCH, T.LongType()), T.StructField(POS, T.LongType())]))
         meta = spark.createDataFrame([(i, i, n, i, i, [], []) for i, n in enumerate(sizes)], META)
-        return Batches(data, meta, None, True), []
+        return Batches(data, meta, None, True, len(sizes)), []
 
 
 def endless_stream(spark: SparkSession, rows_per_batch: int = 1) -> DataFrame:

@@ -81,16 +81,17 @@ class _StreamCompiled(Compiled):
         data = data.unionByName(read("data", data.schema))
         meta = ranked(new.meta.unionByName(read("meta", META)), ["lo", "batch"])
         first = (read("next", "next bigint").first() or [0])[0]
-        folded = self.storage.keep(next_fit(meta, n), 1)
-        open_ = None if self.last else folded.agg(F.max("group")).first()[0]
-        full = folded if open_ is None else folded.where(F.col("group") < open_)
+        # From where on batches wait: the first of the open group.
+        open_ = None if self.last else next_fit(meta, n).agg(F.max(F.struct("group", F.struct(-F.col("rank"))))).first()[0]
+        from_ = open_ and -open_[1][0]
+        full = meta if open_ is None else meta.where(F.col("rank") < from_)
         of = lambda some: data.join(some.select(F.col("batch").alias("__b2")), F.col(BATCH) == F.col("__b2"), "left_semi")
-        out = max_rows([Batches(of(full), full.drop("group"))], names, n)
+        out = max_rows([Batches(of(full), full)], names, n)
         n_out = out.meta.count()
         if not self.last:
-            wait = folded.where(F.col("group") == open_) if open_ is not None else folded.where("false")
+            wait = meta.where(F.col("rank") >= from_) if open_ is not None else meta.where("false")
             of(wait).write.mode("overwrite").parquet(f"{at}/{self.epoch}/data")
-            wait.drop("group").write.mode("overwrite").parquet(f"{at}/{self.epoch}/meta")
+            wait.write.mode("overwrite").parquet(f"{at}/{self.epoch}/meta")
             spark.createDataFrame([(first + n_out,)], "next bigint").write.mode("overwrite").parquet(f"{at}/{self.epoch}/next")
             # An epoch may run again, and then needs what waited before it; older tables aren't read again.
             self.runner.remove(f"{at}/{self.epoch - 2}")

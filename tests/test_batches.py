@@ -270,11 +270,13 @@ def test_blocks_carry_ranks_and_sums(spark, monkeypatch):
     assert [(r["rank"], r.origins) for r in run.batches("merge").orderBy("rank").collect()] == [(i, [i // 2]) for i in range(22)]
 
 
-def test_no_task_orders_all_batches(spark):
+def test_no_task_orders_all_batches(spark, monkeypatch):
     """Windows without a key only see a row for each block."""
-    run = LocalExecutor(spark).run(diamond(MaxRows(3)), FrameSource(spark.range(10), "id", 2))
-    plan = run.compiled.batches(3).meta._jdf.queryExecution().analyzed().toString()
-    assert set(re.findall(r"windowspecdefinition\(0, (\w+)#", plan)) == {"__b"}
+    monkeypatch.setattr("millrace.operators.batching.BLOCK", 3)
+    for g in (diamond(None), diamond(COMMON_ORIGIN, MaxRows(4))):
+        run = LocalExecutor(spark).run(g, FrameSource(spark.range(20), "id", 2))
+        plan = run.compiled.batches(3).meta._jdf.queryExecution().analyzed().toString()
+        assert set(re.findall(r"windowspecdefinition\(0, (\w+)#", plan)) == {"__b"}
 
 
 def test_sinks_take_turns(spark):
