@@ -40,7 +40,28 @@ def test_bounds_hold():
     rng = np.random.default_rng(2)
     for scale in (1e-6, 1.0, 1e6):
         q, x = rng.normal(size=(20, 8)) * scale, rng.normal(size=(500, 8)) * scale
-        got = ann.tile(q, np.arange(20), x, np.arange(1000, 1500), 5)
+        got = {i: (left, low, high) for i, left, low, high in ann.tile(ann.codes(q), np.arange(20), ann.codes(x), np.arange(1000, 1500), 5)}
         for i in range(20):
-            d = np.sqrt(((x - q[i]) ** 2).sum(1))
-            assert [j - 1000 for a, j, _ in got if a == i] == np.argsort(d, kind="stable")[:5].tolist()
+            d = ((x - q[i]) ** 2).sum(1)
+            left, low, high = got[i]
+            assert set(np.argsort(d, kind="stable")[:5]) <= set(left.tolist()) and len(left) < 250
+            assert (low <= d[left]).all() and (d[left] <= high).all()
+
+
+@pytest.mark.parametrize("rows", [
+    [(0, [1e200, 1.0]), (1, [1e200, 2.0]), (2, [1.0, 1.0]), (3, [-1e200, 5.0])], [(0, [5e-324, 0.0]), (1, [1e-320, 5e-324]), (2, [1e-310, 1e-310])], [(0, [1e-200, 1.0]), (1, [2e-200, 1.0]), (2, [1.7e308, 1.0]), (3, [1.0, 1.0])],
+])
+def test_vectors_of_any_finite_size(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") == 0, k=2).collect()
+    want = sorted((math.dist(rows[0][1], v), i) for i, v in rows[1:])[:2]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [i for _, i in want]
+    assert all(math.isclose(r.score, d, rel_tol=1e-12, abs_tol=5e-324) for r, (d, _) in zip(sorted(got, key=lambda r: r["rank"]), want, strict=True))
+
+
+def test_an_id_of_many_rows(spark):
+    rng = random.Random(4)
+    rows = [(0 if i % 3 == 0 else i, [float(np.float32(rng.gauss(0, 1))) for _ in range(4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = ann.nearest(df, F.col("vec_id") % 10 == 0, k=10, query_block=7, item_block=11).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(brute(rows, 10))
