@@ -29,18 +29,21 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ‐-‧]*")
 
 
 @functools.lru_cache(maxsize=4)
-def _tokenizer(path: str, ranks: str | None, pattern: str | None) -> tuple[Tokenizer, tiktoken.Encoding | None]:
+def _tokenizer(path: str, ranks: str | None, pattern: str | None) -> tuple[Tokenizer, tuple[str, ...], tiktoken.Encoding | None]:
+    """The tokenizer, the strings that it takes for tokens of their own, and the rank file's encoding."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t, bpe.encoding(ranks, pattern) if ranks else None
+    return t, tuple(sorted(x.content for x in t.get_added_tokens_decoder().values())), bpe.encoding(ranks, pattern) if ranks else None
 
 
 def token_ids(text: str | None, path: str, ranks: str | None = None, pattern: str | None = None) -> list[int]:
-    """Ids of a text (null: empty) by a tokenizers file, without special tokens. ranks: the same vocabulary as a rank file."""
+    """Ids of a text (null: empty) by a tokenizers file, none added. ranks: the same vocabulary as a rank file. Strings that the file
+    takes for tokens of their own are such in texts too."""
     if not text:
         return []
-    t, enc = _tokenizer(path, ranks, pattern)
+    t, own, enc = _tokenizer(path, ranks, pattern)
+    if any(x in text for x in own):
+        return t.encode(text, add_special_tokens=False).ids
     out: list[int] = []
     for part in bpe.pieces(text):
         out += enc.encode_ordinary(part) if enc and PLAIN.fullmatch(part) else t.encode(part, add_special_tokens=False).ids

@@ -14,9 +14,7 @@ PATH, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("capacity", [64, 1024])
@@ -69,7 +67,9 @@ def test_plain_texts_are_tokenised_alike_by_both_libraries(tokenizer):
 
 
 def test_special_strings_nulls_and_no_rows(spark, tokenizer):
-    assert packing.token_ids("<|endoftext|>", PATH) == tokenizer.encode("<|endoftext|>", add_special_tokens=False).ids != [50256]
+    assert packing.token_ids("<|endoftext|>", PATH) == [50256]
+    for text in ("a <|endoftext|> b", "x" * 70_000 + " y<|endoftext|><|endoftext|>z 1"):
+        assert packing.token_ids(text, PATH, RANKS, P.PATTERN) == tokenizer.encode(text, add_special_tokens=False).ids
     assert packing.token_ids(None, PATH) == []
     assert packing.pack(cases.empty(spark), PATH).count() == 0
     rows = packing.pack(cases.documents(spark, [(None, None), (None, "a b"), (1, "x"), (1, "x")]), PATH).collect()
