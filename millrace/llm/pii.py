@@ -2,8 +2,9 @@
 
 Numbers and dates that pass their validation (check digits, calendar, ranges), and addresses and secrets made of letters and digits, are
 permuted within their format by a keyed Feistel network: letters stay letters, digits digits, separators where they are, and a
-valid number gives a valid number, by permuting again until it is one. The same value gives the same pseudonym in every document, and
-different values of a kind different ones; the key's holder can invert it.
+valid number gives a valid number, by permuting again until it is one. Separators play no part in what becomes of digits and letters: the
+same value gives the same pseudonym in every document, however it is written, and different values of a kind different ones; the key's
+holder can invert it.
 """
 
 from __future__ import annotations
@@ -26,9 +27,15 @@ MOST_FORMAT, MOST_KEPT = 4096, 256
 
 
 def _mix(key: bytes, tweak: bytes, r: int, x: int) -> int:
+    """key has at most 64 bytes; see short_key."""
     return int.from_bytes(hashlib.blake2b(x.to_bytes(64, "big") + tweak, key=key, digest_size=64, salt=bytes([r])).digest(), "big")
 
 
+def short_key(key: bytes) -> bytes:
+    """A key of any length as one that the hash takes."""
+    return key if len(key) <= 64 else hashlib.blake2b(key).digest()
+
+
 def permute(x: int, size: int, key: bytes, tweak: bytes, inverse: bool = False) -> int:
     """A keyed permutation of range(size): a Feistel network over the bits of size - 1, walked until it ends inside."""
     if size < 2:
@@ -133,17 +140,18 @@ def _read_date(text: str) -> tuple[str, datetime.date] | None:
 
 
 def permute_date(text: str, key: bytes, inverse: bool = False) -> str:
-    """Another day of 1900 to 2099 in the text's own style, which reads the same way."""
+    """Another day of 1900 to 2099 in the text's own style, which reads the same way. A day of the month up to 12 stays one, and a later
+    one too, so that a day has one pseudonym in all styles and no style mistakes it for another day."""
     style, day = _read_date(text)
-    sep = next(c for c in text if c in "-/.")
+    sep, late = next(c for c in text if c in "-/."), day.day > 12
     x = day.toordinal() - _FIRST
     while True:
-        x = permute(x, _DAYS, key, b"date" + style.encode(), inverse)
+        x = permute(x, _DAYS, key, b"date", inverse)
         day = datetime.date.fromordinal(_FIRST + x)
-        values = {0: f"{day.year:04d}", 1: f"{day.month:02d}", 2: f"{day.day:02d}"}
-        out = sep.join(values[_DATE[style].index(i)] if style == "iso" else values[{"dmy": (2, 1, 0), "mdy": (1, 2, 0)}[style][i]] for i in range(3))
-        if _read_date(out) == (style, day):
-            return out
+        if (day.day > 12) == late:
+            break
+    values = {0: f"{day.year:04d}", 1: f"{day.month:02d}", 2: f"{day.day:02d}"}
+    return sep.join(values[i] for i in {"iso": (0, 1, 2), "dmy": (2, 1, 0), "mdy": (1, 2, 0)}[style])
 
 
 _EDGE = r"(?<![0-9A-Za-z]){}(?![0-9A-Za-z])"
@@ -162,28 +170,54 @@ KINDS = (
 )
 
 
+#: Country calling codes of one and of two digits; all others have three.
+CALLING_CODES = (
+    "1", "7",
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+    "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
+
+
+def _country(digits: str) -> int:
+    """How many digits of an international number its country code has; at least six others stay to be permuted."""
+    n = next((k for k in (1, 2) if digits[:k] in CALLING_CODES), 3)
+    return max(0, min(n, len(digits) - 6))
+
+
+def _refilled(value: str, bare: str) -> str:
+    """The value with its letters and digits, from left to right, replaced by those of bare."""
+    chars = iter(bare)
+    return "".join(next(chars) if c.isascii() and c.isalnum() else c for c in value)
+
+
 @functools.lru_cache(maxsize=100_000)
 def pseudonym(kind: str, value: str, key: bytes, inverse: bool = False) -> str:
     """A value's pseudonym of the same format, or with inverse the value of a pseudonym.
 
-    An address keeps its domain's last part, a card its first digit, a phone number with a + its country code, an IBAN its country.
+    An address keeps its domain's last part, a card its first digit, a phone number with a + its country code, an IBAN its country. Values
+    that differ in separators alone have pseudonyms that differ in them alone.
     """
-    tweak = kind.encode()
+    key, tweak = short_key(key), kind.encode()
+    bare = "".join(c for c in value if c.isascii() and c.isalnum())
     if kind == "date":
         return permute_date(value, key, inverse)
     if kind == "email":
         at = value.rindex(".")
         return permute_text(value[:at], key, tweak, inverse=inverse) + value[at:]
-    if kind == "iban":
-        head, rest = value[:2], value[4:]
-        rest = permute_text(rest, key, tweak + head.encode(), inverse=inverse)
-        number = int("".join(str(int(c, 36)) for c in rest.replace(" ", "") + head + "00"))
-        return f"{head}{98 - number % 97:02d}{rest}"
+    if kind in ("ipv4", "ssn"):
+        return permute_text(value, key, tweak, valid={"ipv4": ipv4, "ssn": ssn}[kind], inverse=inverse)
     if kind == "secret":
-        return permute_text(value, key, tweak, hexadecimal=True, inverse=inverse)
-    keep = 1 if kind == "card" else sum(c.isdigit() for c in re.match(r"\+?[0-9]*", value)[0]) if kind == "phone" and value[0] == "+" else 0
-    valid = {"card": luhn, "ipv4": ipv4, "ssn": ssn}.get(kind)
-    return permute_text(value, key, tweak, keep=keep, valid=valid, inverse=inverse)
+        out = permute_text(bare.lower(), key, tweak, hexadecimal=True, inverse=inverse)
+        return out if value == value.lower() else out.upper()
+    if kind == "iban":
+        head, rest = bare[:2], permute_text(bare[4:], key, tweak + bare[:2].encode(), inverse=inverse)
+        number = int("".join(str(int(c, 36)) for c in rest + head + "00"))
+        return _refilled(value, f"{head}{98 - number % 97:02d}{rest}")
+    if kind == "card":
+        return _refilled(value, permute_text(bare, key, tweak, keep=1, valid=luhn, inverse=inverse))
+    if value[0] == "+":
+        return _refilled(value, permute_text(bare, key, tweak + b"+", keep=_country(bare), inverse=inverse))
+    return _refilled(value, permute_text(bare, key, tweak, inverse=inverse))
 
 
 def _spans(text: str, kind: str, pattern: re.Pattern, valid, free) -> list[tuple[int, int, str]]:
@@ -249,6 +283,8 @@ def pseudonymised(text: Column, key: bytes) -> Column:
 def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text") -> DataFrame:
     """The rows with all their columns, the text column's personal data replaced.
 
-    Null and empty texts stay as they are; texts of any length are searched whole; equal values give equal pseudonyms everywhere.
+    Null and empty texts stay as they are; texts of any length are searched whole, in time that grows with their length; equal values give
+    equal pseudonyms everywhere, so repeated rows stay repeated. An empty table gives an empty one; other columns, whatever their names,
+    stay as they are.
     """
     return docs.withColumn(text_col, pseudonymised(F.col(text_col), key)["text"])

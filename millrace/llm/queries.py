@@ -73,13 +73,17 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packing.pack(docs, path("byte_bpe_50k.json"), ranks=path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
-#: For the test tables only; whoever runs this on real data passes a secret.
-TEST_KEY = b"millrace test key"
+#: For the test tables only; on real data the session's setting spark.millrace.pii.key has a secret.
+TEST_KEY = "millrace test key"
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    return spark.conf.get("spark.millrace.pii.key", TEST_KEY).encode()
 
 
 def op10_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replaces personal data in every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", pii.pseudonymised(F.col("text"), TEST_KEY).alias("p"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", pii.pseudonymised(F.col("text"), pii_key(spark)).alias("p"))
     return docs.select("doc_id", "p.text", "p.n_found", "p.kinds")
 
 
