@@ -33,12 +33,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the text by pseudonyms of the same length."""
-    return pii.pseudonymise(docs, queries.TEST_KEY)
+    """Replaces personal data in the text by pseudonyms of the same length; the key is the session's setting spark.millrace.pii.key.
+
+    Null and empty texts stay as they are, repeated rows stay repeated; an empty table gives an empty one; other columns stay.
+    """
+    return pii.pseudonymise(docs, queries.pii_key(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 1024 ids."""
+    """Pieces of all documents in sequences of 1024 ids.
+
+    Null and empty texts are an end id alone; rows of repeated ids are packed each; an empty table gives no piece; other columns go.
+    """
     return queries.pack_documents(docs)
 
 
