@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import staged
@@ -108,7 +108,13 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str =
     coded = ("dim", "row", "id", "code", "scale", "near", "rest", "squared")
     asked = again().where("q").groupBy("id", "v").agg(F.min("row").alias("row")).select("row")
     queries = rows.join(asked, "row", "left_semi").select(*coded, at(n_rows, 1).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).alias("j"))
-    items = again().select(*coded, F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("i"), at(n_cols, 2).alias("j"))
+    # Of equal vectors no query needs more than the k smallest ids that aren't its own, nor more than k rows of one id. Limits of such
+    # ranks are applied before rows are exchanged.
+    same = ("same", "same2")
+    alike = again().select(*coded, F.xxhash64("v").alias("same"), F.xxhash64(F.lit(1), "v").alias("same2"))
+    alike = alike.withColumn("rn", F.row_number().over(Window.partitionBy(*same, "id").orderBy("row"))).where(F.col("rn") <= k).drop("rn")
+    alike = alike.withColumn("rn", F.dense_rank().over(Window.partitionBy(*same).orderBy("id"))).where(F.col("rn") <= k + 1)
+    items = alike.select(*coded, F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("i"), at(n_cols, 2).alias("j"))
 
     def join(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []

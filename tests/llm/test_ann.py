@@ -65,3 +65,14 @@ def test_an_id_of_many_rows(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     got = ann.nearest(df, F.col("vec_id") % 10 == 0, k=10, query_block=7, item_block=11).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(brute(rows, 10))
+
+
+def test_many_equal_vectors(spark):
+    rng = random.Random(5)
+    base = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.5]]
+    rows = [(rng.choice([0, 10, 11, 12, *range(20, 90)]), base[rng.random() < 0.3] if rng.random() < 0.8 else [rng.gauss(0, 1) for _ in range(3)]) for _ in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    df = df.withColumn("v", F.lit(1)).withColumn("row", F.lit("x"))
+    nearest = ann.nearest(df, F.col("vec_id") % 10 == 0, k=5, query_block=7, item_block=50)
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in nearest.collect())
+    assert got == sorted(brute(rows, 5))
