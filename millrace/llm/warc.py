@@ -1,28 +1,27 @@
 """WARC archives: writing pages as records, and reading archives back by boundary-chain verification.
 
-Reading takes every place of a record's magic line as a candidate and emits (offset, successor), the successor being where the
-record ends by its own header. Candidates in payloads lie on no chain from the file's start: pointer jumping marks what the start
-reaches, doubling the jump each time, and only those are records.
+Reading cuts archives at every magic line, in tasks that each take a range of a file's bytes. A piece begins with a candidate for a record
+and tells where it ends by its own header: (offset, successor). Candidates in payloads lie on no chain from the file's start: pointer
+jumping marks what the start reaches, doubling the jump each time, and only those are records. That takes a few numbers for each piece;
+payloads stay where they are read, but for those that hold magic lines themselves, whose pieces are put together in the end.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_rows, staged, staged_path
+from millrace.llm.common import arrow_rows, n_partitions, staged, staged_path
 
 #: Fixed values of the format.
 MAGIC = b"WARC/1.1\r\n"
-#: What is read: the magic lines' common beginning and their ends.
+#: What is read: the magic lines' common beginning, at which archives are cut, and their ends.
 MAGIC_HEAD, MAGIC_ENDS = b"WARC/1.", (b"0\r\n", b"1\r\n")
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -47,17 +46,14 @@ def with_digest(rows: DataFrame, text: str, into: str) -> DataFrame:
     return out.withColumn(into, F.concat(*digits)).drop("_sha", *(f"_five{i}" for i in range(4)))
 
 
-def with_revisits(pages: DataFrame, *, id_col: str, payload_col: str, least: int = 0) -> DataFrame:
-    """The rows with _bytes, _digest, and of equal payloads of at least `least` bytes the smallest id, _first, and their number, _n.
+def firsts(digests: DataFrame, least: int = 0) -> DataFrame:
+    """Of (page, _digest, _bytes): for each payload of at least `least` bytes its smallest page, _first, and how often that page has it, _n.
 
-    Null payloads are empty. Rows with a null id are responses that nothing refers to. Of repeated rows with the smallest id one is the
-    response and the others revisit it.
+    Null pages are nobody's first. Equal payloads meet as counted minima, not as rows.
     """
-    rows = pages.withColumn(payload_col, F.coalesce(payload_col, F.lit("")))
-    rows = with_digest(rows, payload_col, "_digest").withColumn("_bytes", F.octet_length(payload_col).cast("long"))
-    # Equal payloads meet as counted minima, not as rows; the join back is one that Spark may split.
-    first = rows.where(F.col(id_col).isNotNull() & (F.col("_bytes") >= least)).groupBy("_digest", "_bytes").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    return rows.join(first.withColumnsRenamed({"_digest": "_d", "_bytes": "_b"}), (F.col("_digest") == F.col("_d")) & (F.col("_bytes") == F.col("_b")), "left").drop("_d", "_b")
+    rows = digests.where(F.col("page").isNotNull() & (F.col("_bytes") >= least)).groupBy("_digest", "_bytes", "page").agg(F.count(F.lit(1)).alias("n"))
+    low = rows.groupBy("_digest", "_bytes").agg(F.min(F.struct("page", "n")).alias("f"))
+    return low.select("_digest", "_bytes", F.col("f.page").alias("_first"), F.col("f.n").alias("_n"))
 
 
 def record_text(record_id: Column, kind: Column, url: Column, block: Column, payload_sha: Column, refers_to: Column, page: Column) -> Column:
@@ -75,13 +71,18 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     """Writes a record for every row to archives in the folder path, with as many records each as have archive_bytes on average,
     compressed as a whole ('none': not).
 
-    Spark writes them, so path can be in any store it knows. See with_revisits for which rows are revisits.
+    Spark writes them, so path can be in any store it knows. Null payloads are empty. Rows with a null id are responses that nothing
+    refers to. Of repeated rows with the smallest id of a payload one is the response and the others revisit it.
     """
-    rows = with_revisits(pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).alias("payload")), id_col="page", payload_col="payload", least=least)
-    # Repeated rows of the smallest id: only one is the response.
-    twin = rows.where(F.col("page") == F.col("_first")).groupBy("_digest", "_bytes").agg(F.count(F.lit(1)).alias("t")).where("t > 1").limit(1).count()
+    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
+    rows = with_digest(rows, "payload", "_digest").withColumn("_bytes", F.octet_length("payload").cast("long"))
+    digests, _ = staged(rows.select("page", "_digest", "_bytes", F.coalesce(F.octet_length("url"), F.lit(0)).alias("_url")), "digests")
+    first = firsts(digests, least)
+    total = digests.agg(F.avg(F.col("_bytes") + F.col("_url")).alias("size"), F.count(F.lit(1)).alias("n"), F.count_distinct("page").alias("pages")).first()
+    # Payloads are exchanged once, by a join that Spark may split where many are alike.
+    rows = rows.join(first.withColumnsRenamed({"_digest": "_d", "_bytes": "_b"}), (F.col("_digest") == F.col("_d")) & (F.col("_bytes") == F.col("_b")), "left").drop("_d", "_b")
     again = F.lit(False)
-    if twin:
+    if total.n != total.pages and first.where("_n > 1").limit(1).count():
         rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("page", "_digest").orderBy("url")))
         again = F.col("_at") > 1
     revisit = F.coalesce(F.col("page").isNotNull() & F.col("_first").isNotNull() & ((F.col("page") != F.col("_first")) | again), F.lit(False))
@@ -89,32 +90,48 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     page = F.col("page").cast("string")
     block = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("payload")))
     text = record_text(F.coalesce(page, F.expr("uuid()")), kind, F.col("url"), block, F.col("_digest"), F.when(revisit, F.col("_first").cast("string")), page)
-    # Each task of the join writes archives, none of more than so many records; payloads are exchanged once.
-    size = lambda c: F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
-    seen = pages.agg(F.avg(size(payload_col) + size(url_col))).first()[0] or 0
-    most = max(1, int(archive_bytes / (seen + 600)))
+    # Each task of the join writes archives, none of more than so many records.
+    most = max(1, int(archive_bytes / ((total["size"] or 0) + 600)))
     rows.select(text.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
-def candidates(content: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, int]]:
-    """(offset, where its block begins, successor) for every magic line in [start, end); offsets of no header's sort are left out.
+#: What is told of a piece of an archive, which begins behind the magic lines' common beginning. start, seq: the byte where its task's range
+#: begins, and its place there; size: its bytes; magic: whether it goes on as a magic line; head: where the first empty line in it ends
+#: (-1: none); length: the first Content-Length line's before that (-1: none). The rest is of a record that is this piece alone.
+PIECES = "file string, start long, seq long, size long, magic boolean, head long, length long, type string, record_id string, refers_to string, page string, payload_bytes long, payload_digest string, claimed_digest string"
+_FIELDS = ("type", "record_id", "refers_to", "page", "payload_bytes", "payload_digest", "claimed_digest")
 
-    Headers may have any length. Their ends and lengths found last are kept until passed, so that the bytes are searched once only.
+
+def piece(data: bytes) -> tuple[bool, int, int]:
+    """magic, head, length of a piece."""
+    head = data.find(b"\r\n\r\n")
+    line = data.find(b"\n") + 1  # what stands before belongs to a line that another piece began
+    found = LENGTH.search(data, line, head + 2 if head >= 0 else len(data)) if line else None
+    return data.startswith(MAGIC_ENDS), head + 4 if head >= 0 else -1, int(found[1]) if found and len(found[1]) <= MOST_DIGITS else -1
+
+
+def chain(size: np.ndarray, magic: np.ndarray, head: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of an archive's pieces in order: which begin a record, where each one's content begins, and where that of a record's block does.
+
+    A header may go on over pieces, as a url may hold the magic line's beginning. Raises where the chain of records ends before the archive.
     """
-    head, length = start - 1, LENGTH.search(content, start)
-    at, until = start - 1, None if end is None else end + len(MAGIC_HEAD) - 1
-    while (at := content.find(MAGIC_HEAD, at + 1, until)) >= 0:
-        if content[at + len(MAGIC_HEAD) : at + len(MAGIC)] not in MAGIC_ENDS:
-            continue
-        if head < at and (head := content.find(b"\r\n\r\n", at)) < 0:
-            return
-        if length and length.start() < at:
-            length = LENGTH.search(content, at)
-        if not length:
-            return
-        if length.end() <= head + 2 and len(length[1]) <= MOST_DIGITS:
-            block = head + 4
-            yield at, block, block + int(length[1]) + 4
+    n, begins = len(size), np.cumsum(size + len(MAGIC_HEAD)) - size - len(MAGIC_HEAD)
+    total = int(begins[-1] + size[-1]) if n else 0
+    # The next piece at or after each in which a header ends, and the next that has a length.
+    upto = lambda has: np.minimum.accumulate(np.where(has, np.arange(n), n)[::-1])[::-1]
+    ends, lengths = upto(head >= 0), upto((length >= 0) | (head >= 0))
+    ok = magic & (ends < n) & (lengths < n)
+    at = np.where(ok, lengths, 0)
+    ok &= length[at] >= 0
+    block = np.where(ok, begins[np.where(ok, ends, 0)] + head[np.where(ok, ends, 0)], -1)
+    which = np.nonzero(ok)[0]
+    offsets = begins[which] - len(MAGIC_HEAD)
+    successors = block[which] + length[at[which]] + len(END)
+    keep = reachable(offsets, successors, total) & (successors <= total)
+    reached = int(successors[keep].max(initial=0))
+    if reached != total:
+        raise ValueError(f"the chain of records ends at byte {reached} of {total}")
+    return which[keep], begins, block
 
 
 def reachable(offsets: np.ndarray, successors: np.ndarray, size: int) -> np.ndarray:
@@ -141,45 +158,113 @@ def _fields(header: bytes) -> dict[str, str]:
     return out
 
 
-def read_archives(spark: SparkSession, path: str, *, ranges: int = 4, glob: str = "*") -> DataFrame:
+def _record(header: bytes, body: bytes) -> tuple:
+    """_FIELDS of a record's header, without its first line's beginning, and block."""
+    f = _fields(header)
+    cut = body.find(b"\r\n\r\n")
+    payload = body[cut + 4 :] if cut >= 0 and body.startswith(b"HTTP/") else body
+    bare = lambda v: v and v.removeprefix("<urn:millrace:").removesuffix(">")
+    own = f.get("warc-type") != "revisit"
+    return (
+        f.get("warc-type"), bare(f.get("warc-record-id")), bare(f.get("warc-refers-to")), f.get("warc-source-page"), len(payload) if own else None,
+        payload_digest(payload) if own else None, (f.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
+    )
+
+
+def _arrow(sql: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    names, types = zip(*(c.split() for c in sql.split(", ")), strict=True)
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(cols, types, strict=True)], list(names))
+
+
+def _cut(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(file, start, data) of every piece, in order in its range. Spark cuts files that aren't compressed into ranges of bytes."""
+    text = spark.read.option("lineSep", MAGIC_HEAD.decode()).option("pathGlobFilter", glob).text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("data"))
+
+
+def _numbered(batches):
+    """(file, start, seq, data) of pieces; a range's pieces come one after another."""
+    now, seq = None, 0
+    for file, start, data in arrow_rows(batches, "file", "start", "data"):
+        now, seq = (file, start), 0 if now != (file, start) else seq + 1
+        yield file, start, seq, data
+
+
+RECORDS = "file string, offset long, type string, record_id string, refers_to string, page string, payload_bytes long, payload_digest string, claimed_digest string"
+
+
+def read_archives(spark: SparkSession, path: str, *, glob: str = "*") -> DataFrame:
     """The records of the archives in a folder (all its data files, or those whose names match glob; WARC/1.0 and WARC/1.1): file, offset, type, record_id, refers_to, page, payload_bytes, payload_digest, claimed_digest.
 
-    Offsets are those in the archive without its compression. payload_bytes and payload_digest are of the payload found (after the HTTP head); a revisit has none (null). An archive is read whole,
-    so archives should be of bounded size; each is searched in overlapping ranges. Bytes that the chain doesn't reach are no records;
-    a chain that ends before its archive does is an error, as records would be missing.
+    Offsets are those in the archive without its compression. payload_bytes and payload_digest are of the payload found (after the HTTP
+    head); a revisit has none (null). A task holds one record at a time, and of one archive some numbers for each magic line. Bytes that
+    the chain doesn't reach are no records; a chain that ends before its archive does is an error, as records would be missing.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
-    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("page", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("claimed_digest", pa.string())])
 
     def parse(batches):
-        for file, content in arrow_rows(batches, "path", "content"):
-            content = gzip.decompress(content) if file.endswith(".gz") else content
-            step = max(1, -(-len(content) // ranges))
-            found = np.array([c for a in range(0, len(content), step) for c in candidates(content, a, min(a + step, len(content)))], np.int64).reshape(-1, 3)
-            keep = reachable(found[:, 0], found[:, 2], len(content)) & (found[:, 2] <= len(content))
-            ends = int(found[keep, 2].max(initial=0))
-            if ends != len(content):
-                raise ValueError(f"{file}: the chain of records ends at byte {ends} of {len(content)}")
-            rows = []
-            for at, block, end in found[keep].tolist():
-                f = _fields(content[at : block - 4])
-                body = content[block : end - 4]
-                cut = body.find(b"\r\n\r\n")
-                payload = body[cut + 4 :] if cut >= 0 and body.startswith(b"HTTP/") else body
-                bare = lambda v: v and v.removeprefix("<urn:millrace:").removesuffix(">")
-                own = f.get("warc-type") != "revisit"
-                rows.append((file, at, f.get("warc-type"), bare(f.get("warc-record-id")), bare(f.get("warc-refers-to")), f.get("warc-source-page"), len(payload) if own else None, payload_digest(payload) if own else None, (f.get("warc-payload-digest") or "").removeprefix("sha1:") or None))
-                if len(rows) == 1024:
-                    yield _records(rows, schema)
-                    rows = []
-            yield _records(rows, schema)
-
-    return files.mapInArrow(parse, "file string, offset long, type string, record_id string, refers_to string, page string, payload_bytes long, payload_digest string, claimed_digest string")
-
-
-def _records(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+        rows = []
+        for file, start, seq, data in _numbered(batches):
+            magic, head, length = piece(data)
+            whole = magic and head >= 0 and len(data) == head + length + len(END)
+            rows.append((file, start, seq, len(data), magic, head, length, *(_record(data[: head - 4], data[head : head + length]) if whole else (None,) * 7)))
+            if len(rows) == 1024:
+                yield _arrow(PIECES, rows)
+                rows = []
+        yield _arrow(PIECES, rows)
+
+    pieces, _ = staged(_cut(spark, path, glob).mapInArrow(parse, PIECES), "pieces")
+    found = ", ".join(["file string", "offset long", *(c for c in PIECES.split(", ")[7:]), "start long", "seq long", "n long", "head long", "length long"])
+
+    def chained(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("start", "ascending"), ("seq", "ascending")])
+        number = lambda c: t.column(c).to_numpy()
+        try:
+            first, begins, block = chain(number("size"), number("magic").astype(bool), number("head"), number("length"))
+        except ValueError as e:
+            raise ValueError(f"{t.column('file')[0]}: {e}") from e
+        # head, length: of what a record's pieces make together, the header's and the block's.
+        ends = np.append(begins[first[1:]], begins[-1] + t.column("size")[-1].as_py() + len(MAGIC_HEAD))[: len(first)] - len(MAGIC_HEAD)
+        head = block[first] - begins[first]
+        own = t.take(pa.array(first))
+        cols = [own.column("file"), pa.array(begins[first] - len(MAGIC_HEAD)), *(own.column(c) for c in _FIELDS), own.column("start"), own.column("seq")]
+        return pa.table([*cols, pa.array(np.diff(np.append(first, t.num_rows))), pa.array(head), pa.array(ends - block[first] - len(END))], names=[c.split()[0] for c in found.split(", ")])
+
+    records, _ = staged(pieces.groupBy("file").applyInArrow(chained, found), "chained")
+    whole = records.where("n = 1").drop("start", "seq", "n", "head", "length")
+    if not records.where("n > 1").limit(1).count():
+        return whole
+    # Records whose payloads hold magic lines: their pieces are read again and meet.
+    place = Window.partitionBy("file").orderBy("start", "seq")
+    parts = records.where("n > 1").select("file", "offset", "start", "seq", "n", "head", "length")
+    of = pieces.join(parts.select("file").distinct(), "file", "left_semi").select("file", "start", "seq", F.row_number().over(place).alias("k"))
+    firsts_ = of.join(parts, ["file", "start", "seq"]).select("file", "offset", "head", "length", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("n") - 1)).alias("k"))
+    wanted = of.join(firsts_, ["file", "k"]).select("file", "start", "seq", "offset", "head", "length", "k")
+
+    def told(batches):
+        for file, start, seq, data in _numbered(batches):
+            yield pa.RecordBatch.from_pydict({"file": [file], "start": [start], "seq": [seq], "data": pa.array([data], pa.binary())})
+
+    again = _cut(spark, path, glob).mapInArrow(told, "file string, start long, seq long, data binary").join(wanted, ["file", "start", "seq"]).select("file", "offset", "k", "head", "length", "data")
+
+    def joined(batches):
+        now, held = None, []
+        for file, offset, head, length, data in arrow_rows(batches, "file", "offset", "head", "length", "data"):
+            if now != (file, offset, head, length):
+                if now:
+                    yield made(now, held)
+                now, held = (file, offset, head, length), []
+            held.append(data)
+        if now:
+            yield made(now, held)
+
+    def made(now, held):
+        data, (file, offset, head, length) = MAGIC_HEAD.join(held), now
+        return _arrow(RECORDS, [(file, offset, *_record(data[: head - 4], data[head : head + length]))])
+
+    met = again.repartition(n_partitions(spark), "file", "offset").sortWithinPartitions("file", "offset", "k").mapInArrow(joined, RECORDS)
+    return whole.unionByName(met)
 
 
 def round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:

@@ -45,25 +45,32 @@ def record(payload: bytes) -> bytes:
     return b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(payload), payload)
 
 
+def cut(content: bytes):
+    pieces = content.split(warc.MAGIC_HEAD)
+    magic, head, length = zip(*map(warc.piece, pieces), strict=True)
+    return warc.chain(np.array([len(p) for p in pieces]), np.array(magic), np.array(head), np.array(length))
+
+
+def starts_of(content: bytes) -> list[int]:
+    which, begins, _ = cut(content)
+    return (begins[which] - len(warc.MAGIC_HEAD)).tolist()
+
+
 def test_only_the_chain_from_the_start_counts():
     rng = random.Random(1)
-    for _ in range(100):
-        payloads = [rng.choice([b"", b"abc", EVIL.encode(), record(b"inner"), record(record(b"deep")), b"WARC/1.1\r\n"]) for _ in range(rng.randint(0, 9))]
+    for _ in range(300):
+        payloads = [rng.choice([b"", b"abc", EVIL.encode(), record(b"inner"), record(record(b"deep")), b"WARC/1.1\r\n", b"WARC/1.", b"WARC/1.1\r\nContent-Length: 2"]) for _ in range(rng.randint(1, 9))]
         content, starts = b"", []
         for p in payloads:
             starts.append(len(content))
-            content += record(p)
-        for ranges in (1, 3, 7):
-            step = max(1, -(-len(content) // ranges))
-            found = np.array([c for a in range(0, len(content), step) for c in warc.candidates(content, a, min(a + step, len(content)))], np.int64).reshape(-1, 3)
-            keep = warc.reachable(found[:, 0], found[:, 2], len(content))
-            assert found[keep, 0].tolist() == starts
+            content += record(p) if rng.random() < 0.7 else record(p).replace(b"WARC-Type", b"Url: x/WARC/1.1/WARC/1.0\r\nWARC-Type", 1)
+        assert starts_of(content) == starts
 
 
 def test_a_broken_record_ends_the_chain():
-    content = record(b"one") + record(b"two")[:-6] + b"?" * 9 + record(b"three")
-    found = np.array(list(warc.candidates(content)), np.int64)
-    assert warc.reachable(found[:, 0], found[:, 2], len(content)).tolist() == [True, True, False]
+    for content in (record(b"one") + record(b"two")[:-6] + b"?" * 9 + record(b"three"), b"x" + record(b"one"), record(b"one")[:-1], record(b"one") + b"\r\n"):
+        with pytest.raises(ValueError, match="chain of records ends"):
+            cut(content)
 
 
 def test_archives_of_bounded_size(spark, tmp_path):
@@ -84,8 +91,25 @@ def test_headers_of_any_length(spark):
 
 def test_many_magic_lines_are_searched_once():
     content = record(warc.MAGIC * 200_000) + record(b"WARC/1.1\r\nContent-Length: " + b"9" * 5000 + b"\r\n\r\n")
-    found = np.array(list(warc.candidates(content)), np.int64)
-    assert warc.reachable(found[:, 0], found[:, 2], len(content)).sum() == 2
+    assert len(starts_of(content)) == 2
+
+
+@pytest.mark.parametrize("part", [1000, 4096, 1 << 20])
+def test_ranges_of_a_file(spark, tmp_path, part):
+    """Tasks read ranges of one archive, cut anywhere: in payloads, headers and magic lines."""
+    rng = random.Random(part)
+    payloads = [rng.choice([b"", b"page %d " % i * rng.randint(1, 300), EVIL.encode() * rng.randint(1, 40), record(record(b"deep")), b"WARC/1." * rng.randint(1, 300)]) for i in range(120)]
+    content = b"".join(record(p) if i % 5 else record(p).replace(b"WARC-Type", b"Url: x/WARC/1.1\r\nWARC-Type", 1) for i, p in enumerate(payloads))
+    (tmp_path / "a.warc").write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = warc.read_archives(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() >= min(8, len(content) // part)
+        assert sorted((r.offset, r.payload_bytes, r.payload_digest) for r in got.collect()) == [(o, len(p), warc.payload_digest(p)) for o, p in zip(starts_of(content), payloads, strict=True)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_missing_records_are_an_error(spark, tmp_path):
