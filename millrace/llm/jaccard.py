@@ -7,9 +7,11 @@ Texts with equal shingle sets form a class, and one of each class, its represent
 2. Two sets that overlap in T elements share at least m within their first n - T + m elements (T: the least overlap that the threshold
    allows a set of n). So only these short lists are joined: pairs with m common elements become edges. A very long list
    among them is not expanded into pairs; its members are joined to one of them, which can only add candidates.
-3. Connected components of these edges hold every link inside. Each component's sets go to one task, or, above a size, to one task
-   for each pair of its blocks. There DivideSkip searches, for each set, the components of smaller sets: a heap merges the short
-   lists, long ones are probed by bisection, and sets are compared where the required overlap is reached.
+3. Connected components of these edges hold every link inside. Each component's sets go to one task, or, above a size, in blocks to
+   several, each with the component's pivots: its smallest id and a few others. There DivideSkip searches, for each set, the components of
+   smaller sets: a heap merges the short lists, long ones are probed by bisection, and sets are compared where the required overlap is
+   reached. What links with the smallest id, over others or not, is settled, as all of that is one component. Only what isn't is then
+   searched in every other block, too.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,13 +154,15 @@ def search(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> list[t
 
 def jaccard_components(
     docs: DataFrame, *, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text",
-    need: int = 3, hot: int = 1 << 18, hot_count: int = 16, long_list: int = 256, group: int = 4096, group_shingles: int = 2_000_000,
+    need: int = 3, hot: int = 1 << 18, hot_count: int = 16, long_list: int = 256, group: int = 512, group_shingles: int = 250_000, pivots: int = 8,
 ) -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id that links reach, itself included) for every row.
 
     Documents link when den * |intersection| >= num * |union| of their shingle sets. need: m above. hot: how many frequent shingles
     workers know, at most; hot_count: from which count. They order shingles and so bear on the cost alone, as do long_list (where lists
-    join members to one of them), group and group_shingles (above which sets or shingles a component is searched in pairs of blocks).
+    join members to one of them), group and group_shingles (above which sets or shingles a component is searched in blocks of half as many),
+    and pivots (how many sets, besides the smallest id's, every block has). A shingle is known by 64 bits of a hash of its words, so sets of
+    n and m shingles are taken to share a wrong one with a chance of nm / 2^64: 10^-10 for two texts of 40 000 words.
 
     Null and white texts have an empty set, link with nothing and keep their own id. A row with a null id takes part in no link: its
     component is that of equal texts with an id, else null. Rows with one id and unlike texts each keep their own set; the id links
@@ -178,16 +183,16 @@ def jaccard_components(
                 held, size, rows = [], 0, []
         yield from _profiled(rows, held)
 
-    all_rows, p_profile = staged(texts.mapInArrow(profile, "id long, n long, digest binary, token long"), "profile")
+    all_rows, _ = staged(texts.mapInArrow(profile, "id long, n long, digest binary, token long"), "profile")
     own = all_rows.where("token is null").select("id", "n", "digest")
-    classes, p_classes = staged(own.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
+    classes, _ = staged(own.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
 
     # Sets that differ can only link from this size on.
     least = next((u - 1 for u in range(2, 10_000) if den * (u - 1) >= num * u), None)
-    links, paths = None, [p_profile, p_classes]
+    links = None
     if least is not None:
-        links, more = _links(texts, all_rows, classes, words, num, den, least, need, hot, hot_count, long_list, group, group_shingles)
-        paths += more
+        links, more = _links(texts, all_rows, classes, words, num, den, least, need, hot, hot_count, long_list, group, group_shingles, pivots)
+        unstage(spark, *more)
     reps = classes.select("digest", "rep")
     if links is not None:
         reps = reps.join(links.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("digest", F.coalesce("root", "rep").alias("rep"))
@@ -205,7 +210,7 @@ def _profiled(rows: list[tuple], held: list[np.ndarray]):
     yield pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.int64()), pa.array(counts, pa.int64()), pa.nulls(len(values), pa.binary()), pa.array(values)], ["id", "n", "digest", "token"])
 
 
-def _links(texts, all_rows, classes, words, num, den, least, need, hot, hot_count, long_list, group, group_shingles):
+def _links(texts, all_rows, classes, words, num, den, least, need, hot, hot_count, long_list, group, group_shingles, pivots):
     spark = texts.sparkSession
     # At most `hot` pairs of numbers.
     often, p_often = staged(all_rows.where("token is not null").groupBy("token").agg(F.sum("n").alias("c")).where(F.col("c") >= hot_count), "often")
@@ -252,19 +257,42 @@ def _links(texts, all_rows, classes, words, num, den, least, need, hot, hot_coun
     candidates, p_candidates = components(shared.union(stars))
     unstage(spark, p_lists)
     nodes = candidates.union(candidates.select("b", "b").distinct()).toDF("id", "comp")
-    # Of how many times the bound a component is.
+    # In how many blocks of half the bounds a component is searched.
     shingles = classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n"))
     times = F.greatest(F.count(F.lit(1)) / group, F.sum("n") / group_shingles)
     sizes = nodes.join(shingles, "id").groupBy("comp").agg(times.alias("times")).select("comp", F.when(F.col("times") > 1, F.ceil(F.col("times") * 2)).otherwise(1).alias("blocks"))
-    mine = (F.abs(F.xxhash64("id")) % F.col("blocks")).alias("mine")
-    spread = nodes.join(sizes, "comp").select("id", "comp", "blocks", mine).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("id", "comp", "blocks", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"))
-    wanted, p_wanted = staged(spread, "wanted")
-    of_reps = texts.where(F.col("id").isNotNull()).join(wanted, "id")
+    mixed = F.abs(F.xxhash64("id", F.lit(3)) % (1 << 40))
+    members, p_members = staged(nodes.join(sizes, "comp").select("id", "comp", "blocks", (mixed % F.col("blocks")).alias("block")), "members")
+    large = members.where("blocks > 1")
+    some = large.where("id <> comp").withColumn("rn", F.row_number().over(Window.partitionBy("comp").orderBy(mixed, "id"))).where(F.col("rn") <= pivots)
+    some = some.select("id", "comp", "blocks", "block").union(large.where("id = comp"))
+    others = some.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where(F.col("with") != F.col("block"))
+    wanted = members.union(others.select("id", "comp", "blocks", F.col("with").alias("block")))
+    edges, p_edges = staged(_searched(texts, wanted, words, num, den), "edges")
+    links, paths = edges.where("not split and a <> b").select("a", "b"), [p_candidates, p_members]
+    open_, p_open = staged(edges.where("split and open").select(F.col("a").alias("id")).distinct(), "open")
+    joined = edges.where("split and a <> b").select("a", "b")
+    if open_.limit(1).count():
+        # What isn't settled meets every other block: its own blocks, each beside each of the component's.
+        parts = open_.join(members, "id").groupBy("comp").agg(F.ceil(F.count(F.lit(1)) * 2 / group).alias("parts"))
+        mine = open_.join(members, "id").join(parts, "comp")
+        mine = mine.select("id", "comp", "blocks", (mixed % F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        all_ = members.join(parts, "comp").select("id", "comp", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "block")
+        both = mine.unionByName(all_).select("id", "comp", "blocks", (F.col("block") * (1 << 24) + F.col("part")).alias("block")).distinct()
+        more, p_more = staged(_searched(texts, both, words, num, den), "edges")
+        joined, paths = joined.union(more.where("a <> b").select("a", "b")), [*paths, p_more]
+    if large.limit(1).count():
+        joined, _ = components(joined)
+        links = links.union(joined)
+    return links, [*paths, p_open]
+
+
+def _searched(texts, wanted, words, num, den) -> DataFrame:
+    """The links that search() finds among the ids of each (comp, block) of wanted: a, b; split: whether comp has several blocks; open: whether a isn't settled."""
 
     def local(batches):
         now, ids, sets, seen = None, [], [], set()
-        for i, text, *at in arrow_rows(batches, "id", "text", "comp", "i", "j", "blocks"):
+        for i, text, *at in arrow_rows(batches, "id", "text", "comp", "block", "blocks"):
             if at != now:
                 yield from found(now, ids, sets)
                 now, ids, sets, seen = at, [], [], set()
@@ -276,17 +304,20 @@ def _links(texts, all_rows, classes, words, num, den, least, need, hot, hot_coun
         yield from found(now, ids, sets)
 
     def found(now, ids, sets):
-        if len(ids) > 1 and (out := search(ids, sets, num, den)):
-            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [y for _, y in out], "split": [now[-1] > 1] * len(out)})
-
-    dealt = of_reps.repartition(max(n_partitions(spark), 1), "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "id")
-    edges, p_edges = staged(dealt.mapInArrow(local, "a long, b long, split boolean"), "edges")
-    links = edges.where("not split and a <> b").select("a", "b")
-    paths = [p_candidates, p_wanted, p_edges]
-    if edges.where("split").limit(1).count():
-        joined, path = components(edges.where("split").select("a", "b"))
-        links, paths = links.union(joined), [*paths, path]
-    return links, paths
+        out, split = search(ids, sets, num, den) if len(ids) > 1 else [], bool(now) and now[-1] > 1
+        if split:
+            settled = Counter(i for i, least in out if least == now[0])
+            # An id with unlike texts is settled when all of them are.
+            out += [(i, i) for i, n in Counter(ids).items() if n > settled[i]]
+            open_ = [a == b != now[0] for a, b in out]
+        else:
+            open_ = [False] * len(out)
+        if out:
+            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [y for _, y in out], "split": [split] * len(out), "open": open_})
+
+    of_reps = texts.where(F.col("id").isNotNull()).join(wanted, "id")
+    dealt = of_reps.repartition(n_partitions(texts.sparkSession), "comp", "block").sortWithinPartitions("comp", "block", "id")
+    return dealt.mapInArrow(local, "a long, b long, split boolean, open boolean")
 
 
 def _gathered(make, size: int = 512):

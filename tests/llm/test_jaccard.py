@@ -69,7 +69,7 @@ def test_cost_parameters_don_t_change_results(spark):
         w[rng.randrange(60)] = f"y{i}"
         rows.append((2000 + i, " ".join(w)))
     docs = cases.documents(spark, rows)
-    for more in ({}, {"long_list": 2, "hot_count": 2}, {"group": 8}, {"hot": 1}):
+    for more in ({}, {"long_list": 2, "hot_count": 2}, {"group": 8}, {"hot": 1}, {"group": 16, "pivots": 0, "long_list": 2, "hot_count": 2}, {"group": 12, "pivots": 2, "group_shingles": 300, "long_list": 1}):
         got = jaccard.jaccard_components(docs, words=4, num=85, den=100, **more).collect()
         assert sorted(map(tuple, got), key=repr) == brute(rows, 4, 85, 100), more
 
