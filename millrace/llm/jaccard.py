@@ -8,10 +8,10 @@ Texts with equal shingle sets form a class, and one of each class, its represent
    allows a set of n). So only these short lists are joined: pairs with m common elements become edges. A very long list
    among them is not expanded into pairs; its members are joined to one of them, which can only add candidates.
 3. Connected components of these edges hold every link inside. Each component's sets go to one task, or, above a size, in blocks to
-   several, each with the component's pivots: its smallest id and a few others. There DivideSkip searches, for each set, the components of
-   smaller sets: a heap merges the short lists, long ones are probed by bisection, and sets are compared where the required overlap is
-   reached. What links with the smallest id, over others or not, is settled, as all of that is one component. Only what isn't is then
-   searched in every other block, too.
+   several, each with the component's pivots: a few sets that share most of their first elements with others, as what others are copies of
+   does. There DivideSkip searches, for each set, the components of smaller sets: a heap merges the short lists, long ones are probed by
+   bisection, and sets are compared where the required overlap is reached. Of a component in blocks, what these links connect to its
+   largest part is settled, as it makes no difference which links inside that part were not looked for. Only the rest meets every block.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_rows, most_frequent, n_partitions, staged, unstage
+from millrace.llm.common import arrow_rows, fresh, most_frequent, n_partitions, staged, unstage
 from millrace.llm.components import components
 
 #: Odd multipliers, one for each place of a word in a shingle.
@@ -154,19 +153,19 @@ def search(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> list[t
 
 def jaccard_components(
     docs: DataFrame, *, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text",
-    need: int = 3, hot: int = 1 << 18, hot_count: int = 16, long_list: int = 256, group: int = 512, group_shingles: int = 250_000, pivots: int = 8,
+    need: int = 3, hot: int = 1 << 18, hot_count: int = 16, long_list: int = 256, group: int = 512, group_shingles: int = 250_000, pivots: int = 8, with_digest: bool = False,
 ) -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id that links reach, itself included) for every row.
 
     Documents link when den * |intersection| >= num * |union| of their shingle sets. need: m above. hot: how many frequent shingles
     workers know, at most; hot_count: from which count. They order shingles and so bear on the cost alone, as do long_list (where lists
     join members to one of them), group and group_shingles (above which sets or shingles a component is searched in blocks of half as many),
-    and pivots (how many sets, besides the smallest id's, every block has). A shingle is known by 64 bits of a hash of its words, so sets of
+    and pivots (how many sets every block of a component has). A shingle is known by 64 bits of a hash of its words, so sets of
     n and m shingles are taken to share a wrong one with a chance of nm / 2^64: 10^-10 for two texts of 40 000 words.
 
     Null and white texts have an empty set, link with nothing and keep their own id. A row with a null id takes part in no link: its
     component is that of equal texts with an id, else null. Rows with one id and unlike texts each keep their own set; the id links
-    what they link. Repeated rows are repeated. Other columns play no part.
+    what they link. Repeated rows are repeated. Other columns play no part. with_digest: also digest, equal for equal sets (null: empty).
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -175,7 +174,7 @@ def jaccard_components(
         held, size, rows = [], 0, []
         for i, text in arrow_rows(batches, "id", "text"):
             s = shingle_set(text, words)
-            rows.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, None))
+            rows.append((i, len(s), _digest(s), None))
             held.append(s)
             size += len(s)
             if size > 4_000_000:
@@ -197,7 +196,38 @@ def jaccard_components(
     if links is not None:
         reps = reps.join(links.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("digest", F.coalesce("root", "rep").alias("rep"))
     out = own.join(reps, "digest", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("component_id"), *["digest"] * with_digest)
+
+
+def one_of_each(docs: DataFrame, *, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, without the near copies of others: of every group of rows that links connect one stays.
+
+    That is a row of the smallest id, or where none of the group has an id, any. Rows without words link with nothing and all stay. Of
+    rows that repeat the smallest id the one of the least text stays. An empty table gives an empty one.
+    """
+    found = jaccard_components(docs, words=words, num=num, den=den, id_col=id_col, text_col=text_col, with_digest=True)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(fresh(docs, "gone"))).distinct()
+    kept = docs.join(gone, F.col(id_col) == F.col(gone.columns[0]), "left_anti")
+    has_words = F.coalesce(F.regexp_like(F.col(text_col), F.lit(r"[^ \t-\r]")), F.lit(False))
+    # Ids that several rows with words have, and rows without an id, are the exception; only they are looked at again.
+    again = found.where(F.col(id_col).isNotNull() & F.col("digest").isNotNull()).groupBy(F.col(id_col).alias(fresh(docs, "again"))).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    if again.limit(1).count():
+        named, one = F.col(id_col) == F.col(again.columns[0]), fresh(docs, "one")
+        odd = kept.where(has_words).join(again, named, "left_semi").withColumn(one, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col)))
+        kept = kept.where(~has_words | F.col(id_col).isNull()).unionByName(kept.where(has_words & F.col(id_col).isNotNull()).join(again, named, "left_anti")).unionByName(odd.where(F.col(one) == 1).drop(one))
+    if found.where(F.col(id_col).isNull() & F.col("digest").isNotNull()).limit(1).count():
+        digest, one = fresh(docs, "digest"), fresh(docs, "one")
+        digested = F.pandas_udf(lambda texts: texts.map(lambda t: _digest(shingle_set(t, words))), "binary")
+        loose = kept.where(has_words & F.col(id_col).isNull()).withColumn(digest, digested(F.col(text_col)))
+        with_id = found.where(F.col(id_col).isNotNull() & F.col("digest").isNotNull()).select(F.col("digest").alias(fresh(loose, "have"))).distinct()
+        loose = loose.join(with_id, F.col(digest) == F.col(with_id.columns[0]), "left_anti")
+        loose = loose.withColumn(one, F.row_number().over(Window.partitionBy(digest).orderBy(text_col))).where(F.col(one) == 1).drop(one, digest)
+        kept = kept.where(~has_words | F.col(id_col).isNotNull()).unionByName(loose)
+    return kept
+
+
+def _digest(s: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
 def _profiled(rows: list[tuple], held: list[np.ndarray]):
@@ -255,6 +285,7 @@ def _links(texts, all_rows, classes, words, num, den, least, need, hot, hot_coun
         .where(F.col("c") >= F.least(F.lit(need), F.ceil(F.col("n") * num / den))).select("a", "b")
     )
     candidates, p_candidates = components(shared.union(stars))
+    central, p_central = staged(lists.groupBy("id").agg(F.struct(F.count(F.lit(1)), F.sum("c")).alias("central")), "central")
     unstage(spark, p_lists)
     nodes = candidates.union(candidates.select("b", "b").distinct()).toDF("id", "comp")
     # In how many blocks of half the bounds a component is searched.
@@ -264,31 +295,34 @@ def _links(texts, all_rows, classes, words, num, den, least, need, hot, hot_coun
     mixed = F.abs(F.xxhash64("id", F.lit(3)) % (1 << 40))
     members, p_members = staged(nodes.join(sizes, "comp").select("id", "comp", "blocks", (mixed % F.col("blocks")).alias("block")), "members")
     large = members.where("blocks > 1")
-    some = large.where("id <> comp").withColumn("rn", F.row_number().over(Window.partitionBy("comp").orderBy(mixed, "id"))).where(F.col("rn") <= pivots)
-    some = some.select("id", "comp", "blocks", "block").union(large.where("id = comp"))
-    others = some.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where(F.col("with") != F.col("block"))
-    wanted = members.union(others.select("id", "comp", "blocks", F.col("with").alias("block")))
-    edges, p_edges = staged(_searched(texts, wanted, words, num, den), "edges")
-    links, paths = edges.where("not split and a <> b").select("a", "b"), [p_candidates, p_members]
-    open_, p_open = staged(edges.where("split and open").select(F.col("a").alias("id")).distinct(), "open")
-    joined = edges.where("split and a <> b").select("a", "b")
-    if open_.limit(1).count():
-        # What isn't settled meets every other block: its own blocks, each beside each of the component's.
-        parts = open_.join(members, "id").groupBy("comp").agg(F.ceil(F.count(F.lit(1)) * 2 / group).alias("parts"))
-        mine = open_.join(members, "id").join(parts, "comp")
-        mine = mine.select("id", "comp", "blocks", (mixed % F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        all_ = members.join(parts, "comp").select("id", "comp", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "block")
-        both = mine.unionByName(all_).select("id", "comp", "blocks", (F.col("block") * (1 << 24) + F.col("part")).alias("block")).distinct()
-        more, p_more = staged(_searched(texts, both, words, num, den), "edges")
-        joined, paths = joined.union(more.where("a <> b").select("a", "b")), [*paths, p_more]
-    if large.limit(1).count():
-        joined, _ = components(joined)
-        links = links.union(joined)
-    return links, [*paths, p_open]
+    best = Window.partitionBy("comp").orderBy(F.desc_nulls_last("central"), "id")
+    some = large.join(central, "id", "left").withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= pivots)
+    some = some.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where(F.col("with") != F.col("block"))
+    wanted = members.union(some.select("id", "comp", "blocks", F.col("with").alias("block")))
+    edges, _ = staged(_searched(texts, wanted, words, num, den), "edges")
+    links, paths = edges.where("not split").select("a", "b"), [p_candidates, p_members, p_central]
+    if not large.limit(1).count():
+        return links, paths
+    found = edges.where("split").select("a", "b")
+    parts, p_parts = components(found)
+    # What isn't in the largest part of its component meets every block: its own blocks, each beside each of the component's.
+    part = large.join(parts.select(F.col("a").alias("a_"), F.col("b").alias("b_")), F.col("id") == F.col("a_"), "left").select("id", "comp", "blocks", "block", F.coalesce("b_", "id").alias("part"))
+    size = part.groupBy("comp", "part").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("comp").alias("c_")).agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"))
+    rest, p_rest = staged(part.join(size, F.col("comp") == F.col("c_")).where("part <> main").select("id", "comp", "blocks"), "rest")
+    if not rest.limit(1).count():
+        unstage(spark, p_rest)
+        return links.union(parts), paths
+    turns = rest.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) * 2 / group).alias("turns"))
+    mine = rest.join(turns, "comp").select("id", "comp", "blocks", (mixed % F.col("turns")).alias("turn"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    all_ = large.join(turns, "comp").select("id", "comp", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "block")
+    both = mine.unionByName(all_).select("id", "comp", "blocks", (F.col("block") * (1 << 24) + F.col("turn")).alias("block")).distinct()
+    more, p_more = staged(_searched(texts, both, words, num, den), "edges")
+    joined, _ = components(found.union(more.select("a", "b")))
+    return links.union(joined), [*paths, p_parts, p_rest, p_more]
 
 
 def _searched(texts, wanted, words, num, den) -> DataFrame:
-    """The links that search() finds among the ids of each (comp, block) of wanted: a, b; split: whether comp has several blocks; open: whether a isn't settled."""
+    """The links that search() finds among the ids of each (comp, block) of wanted: a, b; split: whether comp has several blocks."""
 
     def local(batches):
         now, ids, sets, seen = None, [], [], set()
@@ -304,20 +338,13 @@ def _searched(texts, wanted, words, num, den) -> DataFrame:
         yield from found(now, ids, sets)
 
     def found(now, ids, sets):
-        out, split = search(ids, sets, num, den) if len(ids) > 1 else [], bool(now) and now[-1] > 1
-        if split:
-            settled = Counter(i for i, least in out if least == now[0])
-            # An id with unlike texts is settled when all of them are.
-            out += [(i, i) for i, n in Counter(ids).items() if n > settled[i]]
-            open_ = [a == b != now[0] for a, b in out]
-        else:
-            open_ = [False] * len(out)
+        out = [(a, b) for a, b in search(ids, sets, num, den) if a != b] if len(ids) > 1 else []
         if out:
-            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [y for _, y in out], "split": [split] * len(out), "open": open_})
+            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [y for _, y in out], "split": [now[-1] > 1] * len(out)})
 
     of_reps = texts.where(F.col("id").isNotNull()).join(wanted, "id")
     dealt = of_reps.repartition(n_partitions(texts.sparkSession), "comp", "block").sortWithinPartitions("comp", "block", "id")
-    return dealt.mapInArrow(local, "a long, b long, split boolean, open boolean")
+    return dealt.mapInArrow(local, "a long, b long, split boolean")
 
 
 def _gathered(make, size: int = 512):

@@ -131,3 +131,22 @@ def test_components(spark):
     got = {r.a: r.b for r in components(spark.createDataFrame([*edges, (None, 3), (4, None)], "a bigint, b bigint"))[0].collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
     assert components(spark.createDataFrame([], "a bigint, b bigint"))[0].count() == 0
+
+
+@pytest.mark.parametrize("more", [{}, {"group": 10, "pivots": 2}, {"group": 10, "pivots": 0}, {"group": 6, "pivots": 1, "long_list": 2, "hot_count": 2}])
+def test_copies_that_link_with_their_original_alone(spark, more):
+    """Copies of one text, each edited elsewhere, link over the original, which isn't the smallest id; another such group shares a passage."""
+    rng = random.Random(12)
+    rows = [(3, "quite another text of its own here")]
+    for at in (100, 500):
+        base = [f"{at}w{i}" for i in range(90)] if at == 100 else [f"100w{i}" for i in range(40)] + [f"{at}w{i}" for i in range(50)]
+        rows.append((at + 50, " ".join(base)))
+        for i in range(45):
+            w, j = list(base), 2 * i
+            w[j] = f"e{at}{i}"
+            w[(j + 1) % 90] = f"f{at}{i}"
+            rows.append((at + i, " ".join(w)))
+    rng.shuffle(rows)
+    got = jaccard.jaccard_components(cases.documents(spark, rows), words=4, num=85, den=100, **more).collect()
+    want = brute(rows, 4, 85, 100)
+    assert len({c for *_, c in want}) == 3 and sorted(map(tuple, got), key=repr) == want
