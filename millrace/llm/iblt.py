@@ -4,7 +4,8 @@ A text's paragraphs (its sentences and lines, long ones cut) have 64-bit digests
 added to one cell of each row: the cell's number goes up by one, its key and its check are XORed with the digest and its hash.
 Subtracting two sketches of one size leaves the digests that differ. A cell with one of them is pure: its check fits its key. Peeling
 takes such digests out of their other cells, row after row, until nothing is left; each row is peeled in one pass, in which no digest
-is pure twice. Where cells remain, the pair is retried with a larger sketch.
+is pure twice. A document's fingerprint is a small sketch. Two versions are compared by their fingerprints first, which tell them apart
+where few paragraphs differ; where cells remain, or so many differ that they must, the pair is retried with larger sketches.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import n_partitions, staged
 
-#: Up to a sentence's or a line's end, at most 96 characters.
-PARAGRAPH = r"[^\n.!?]{1,96}+[\n.!?\s]*+"
+#: Up to a sentence's or a line's end, at most 96 characters; or such ends alone, where nothing stands before them.
+PARAGRAPH = r"[^\n.!?]{1,96}+[\n.!?\s]*+|[\n.!?][\n.!?\s]*+"
 #: Cells of each of the three rows of the fingerprint that is kept with a document.
 KEPT = 4
 #: Up to so many keys of pairs to retry are broadcast.
@@ -39,23 +40,40 @@ def _slot(key: Column, row: int, width: Column, seed: int) -> Column:
     return row * width + F.pmod(F.xxhash64(key, F.lit(31 * seed + row)), width)
 
 
-def fingerprint(keys: Column, width: int = KEPT) -> Column:
-    """The sketch of an array of distinct digests as text: for each cell, its number, key and check in hexadecimal."""
+def spread(keys: Column, width: int = KEPT) -> Column:
+    """An array of distinct digests with their checks and, for each row of a sketch, their cells. To be kept in a column of its own: sketch() reads it often."""
+    slots = lambda k: (_slot(k, r, F.lit(width), 0).cast("int").alias(f"s{r}") for r in range(3))
+    return F.transform(keys, lambda k: F.struct(k.alias("key"), _check(k).alias("chk"), *slots(k)))
 
-    def inside(row: int, cell: int):
-        return lambda k: F.pmod(F.xxhash64(k, F.lit(row)), F.lit(width)) == cell
 
-    rows = []
-    for row in range(3):
-        for cell in range(width):
-            mine = F.filter(keys, inside(row, cell))
-            rows += [F.hex(F.size(mine).cast("long")), F.hex(F.aggregate(mine, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(k)))]
-            rows.append(F.hex(F.aggregate(mine, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_check(k)))))
-    return F.concat_ws(":", F.hex(F.size(keys).cast("long")), *rows)
+def sketch(of: Column, width: int = KEPT) -> Column:
+    """The sketch of what spread() gave: an array of cells of n, key and chk."""
+    zero = F.lit(0).cast("long")
+
+    def one(cell: int) -> Column:
+        mine = F.filter(of, lambda e: e[f"s{cell // width}"] == cell)
+        xor = lambda c: F.aggregate(mine, zero, lambda a, e: a.bitwiseXOR(e[c]))
+        return F.struct(F.size(mine).cast("long").alias("n"), xor("key").alias("key"), xor("chk").alias("chk"))
+
+    return F.array(*(one(cell) for cell in range(3 * width)))
+
+
+def fingerprint(cells: Column) -> Column:
+    """A sketch as text: for each cell its number, key and check in hexadecimal."""
+    return F.concat_ws(":", F.transform(cells, lambda c: F.concat_ws(".", F.hex(c["n"]), F.hex(c["key"]), F.hex(c["chk"]))))
+
+
+def subtracted(left: Column, right: Column) -> Column:
+    """The cells (cell, n, key, chk) that aren't empty after subtracting one sketch from another."""
+    cells = F.transform(left, lambda c, i: F.struct(
+        i.cast("long").alias("cell"), (c["n"] - right[i]["n"]).alias("n"), c["key"].bitwiseXOR(right[i]["key"]).alias("key"), c["chk"].bitwiseXOR(right[i]["chk"]).alias("chk"),
+    ))
+    return F.filter(cells, lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0))
 
 
 def peel_differences(pairs: DataFrame, left: str, right: str, *, keys: list[str], attempts: int = 6, per_task: int = 250_000) -> tuple[DataFrame, list[str]]:
-    """keys with n_left, n_right: how many digests only the left or the right array of a row has, as their sketches tell; staged paths.
+    """keys with n_left, n_right: how many digests only the left or the right array of a row has, as their sketches tell; and cells, how
+    many these had (null where they weren't asked); staged paths.
 
     Arrays hold distinct digests and aren't null; keys name a row, and the first of them deals rows out. A sketch has half as many
     cells again as both sides have digests, at least 24; every retry doubles that and hashes anew. per_task: about how many digests a
@@ -78,7 +96,7 @@ def peel_differences(pairs: DataFrame, left: str, right: str, *, keys: list[str]
         # Keys alone are sent to all workers while they are few; beyond that both sides are exchanged.
         todo, path = staged(todo.join(F.broadcast(failed) if left_over <= FEW else failed, keys, "left_semi"), "failed")
         paths.append(path)
-    rest = todo.select(*keys, F.size(F.array_except(left, right)).cast("long").alias("n_left"), F.size(F.array_except(right, left)).cast("long").alias("n_right"))
+    rest = todo.select(*keys, F.size(F.array_except(left, right)).cast("long").alias("n_left"), F.size(F.array_except(right, left)).cast("long").alias("n_right"), F.lit(None).cast("long").alias("cells"))
     return done.unionByName(rest), paths
 
 
@@ -107,7 +125,11 @@ def _peeled(pairs: DataFrame, left: str, right: str, keys: list[str], seed: int,
     # A pair with nothing on either side keeps a row of its own: the mark with n = 0.
     spots = F.when(F.col("n") == 0, F.array(F.lit(_PLUS).cast("long"))).otherwise(F.array(*(_slot(F.col("key"), r, F.col("width"), seed) for r in range(3))))
     cells = rows.select(*keys, "width", "n", "key", F.when(F.col("n") == 0, 0).otherwise(_check(F.col("key"))).cast("long").alias("chk"), F.explode(spots).alias("cell"))
-    cells = _summed(cells, keys)
+    return _peel(_summed(cells, keys), keys, seed)
+
+
+def _peel(cells: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """keys, n_left, n_right, cells and failed, of differences of sketches: (keys, width, cell, n, key, chk)."""
     for step in range(3 * 6):
         row = step % 3
         inside = (F.col("cell") >= row * F.col("width")) & (F.col("cell") < (row + 1) * F.col("width"))
@@ -121,10 +143,21 @@ def _peeled(pairs: DataFrame, left: str, right: str, keys: list[str], seed: int,
     return cells.groupBy(*keys).agg(
         F.sum(F.when(F.col("cell") == _PLUS, F.col("n")).otherwise(0)).alias("n_left"),
         F.sum(F.when(F.col("cell") == _MINUS, F.col("n")).otherwise(0)).alias("n_right"),
+        (3 * F.max("width")).alias("cells"),
         F.max(F.col("cell") >= 0).alias("failed"),
     )
 
 
+def peel_fingerprints(differences: DataFrame, column: str, *, keys: list[str], width: int = KEPT) -> tuple[DataFrame, str]:
+    """What peel_differences gives, of the rows whose subtracted sketches tell it; and its path. Rows with more than three quarters of the cells in use aren't tried."""
+    all_ = differences.select(*keys, F.col(column).alias("d")).where(F.size("d") <= 3 * width * 3 // 4)
+    same = all_.where(F.size("d") == 0).select(*keys, *(F.lit(n).cast("long").alias(c) for c, n in (("n_left", 0), ("n_right", 0), ("cells", 3 * width))))
+    cells = all_.where(F.size("d") > 0).repartition(n_partitions(differences.sparkSession), keys[0]).select(*keys, F.lit(width).cast("long").alias("width"), F.explode("d").alias("c"))
+    with _plain_maps(differences.sparkSession):
+        peeled = _peel(cells.select(*keys, "width", "c.*"), keys, 0).where("not failed").drop("failed")
+        return staged(peeled.unionByName(same), "told")
+
+
 def _summed(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Cells added up; empty ones go."""
     out = cells.groupBy(*keys, "width", "cell").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk"))
@@ -132,12 +165,13 @@ def _summed(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_next(docs: DataFrame, *, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """(id, text, next_text, k) for every row: the text of the row after it by id (ties: by text), after the last that of the first.
+    """(id, text, own, cells, k) and, with next_ before them, the text, digests and sketch of the row after it by id (ties: by text), after the last those of the first.
 
     k is unique. Rows are dealt into ranges of ids by quantiles, and a range also gets copies of the rows with the next range's first
     id, so that each range is ordered alone and none needs all rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    told = rows.select("*", digests("text").alias("own")).select("*", spread(F.col("own")).alias("at")).select("id", "text", "own", sketch(F.col("at")).alias("cells"))
     ends = rows.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)], 10_000).alias("s"), F.min("id").alias("a"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls")).first()
     starts = sorted({s for s in ends.s or [] if s != ends.a})
     # Two levels of about the root of their number each: a row is compared with few of them.
@@ -153,31 +187,48 @@ def with_next(docs: DataFrame, *, id_col: str, text_col: str, buckets: int) -> D
     first = F.col("id").isNull() if ends.nulls else F.col("id") == F.lit(ends.a)
     more.append(F.when(first, F.struct(F.lit(len(starts)).alias("bucket"), F.lit(2).alias("copy"))))
     copies = F.array_compact(F.array(F.struct(mine.alias("bucket"), F.lit(0).alias("copy")), *more))
-    dealt = rows.withColumn("c", F.explode(copies)).select("id", "text", "c.bucket", "c.copy")
+    dealt = told.withColumn("c", F.explode(copies)).select("id", "text", "own", "cells", "c.bucket", "c.copy")
     order = Window.partitionBy("bucket").orderBy("copy", F.asc_nulls_first("id"), "text")
     k = F.col("bucket").cast("long") * 2**40 + F.row_number().over(order)
-    return dealt.withColumns({"next_text": F.lead("text").over(order), "k": k}).where("copy = 0").select("id", "text", "next_text", "k")
+    return dealt.withColumns({**{f"next_{c}": F.lead(c).over(order) for c in ("text", "own", "cells")}, "k": k}).where("copy = 0").drop("bucket", "copy")
 
 
 def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints every text and its edited text, whose last half of code points gives way to the first as many of the next text.
 
-    Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next. A likeness is |common| / |either|
-    of the two paragraph sets, as peeling the sketches' difference tells; 1 where both are empty. Null texts are empty, repeated rows
-    are rows of their own, null ids come first; an empty table gives an empty one; other columns play no part.
+    Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_paragraphs, cells_edited and cells_next. A
+    likeness is |common| / |either| of the two paragraph sets, as peeling the sketches' difference tells; 1 where both are empty. Where
+    cells_edited (cells_next) is the number of cells of a fingerprint, the two fingerprints and n_paragraphs tell it; else that many cells
+    of a larger sketch. Null texts are empty, repeated rows are rows of their own, null ids come first; an empty table gives an empty one;
+    other columns play no part.
     """
     spark = docs.sparkSession
     pairs = with_next(docs, id_col=id_col, text_col=text_col, buckets=max(2, min(10_000, 4 * n_partitions(spark))))
     half = F.floor(F.length("text") / 2).cast("int")
-    rows = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.select("id", "k", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests("text").alias("own"), digests("edited").alias("edited"), digests("next_text").alias("next"))
-    rows, _ = staged(rows, "digests")
-    both = rows.select("k", F.explode(F.array(F.struct(F.lit(0).alias("with_next"), F.col("own").alias("l"), F.col("edited").alias("r")), F.struct(F.lit(1).alias("with_next"), F.col("own").alias("l"), F.col("next").alias("r")))).alias("p")).select("k", "p.*")
-    peeled, _ = peel_differences(both, "l", "r", keys=["k", "with_next"])
+    rows = pairs.withColumn("edited_text", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)))
+    rows = rows.select("*", digests("edited_text").alias("edited")).select("*", spread(F.col("edited")).alias("at")).select("*", sketch(F.col("at")).alias("edited_cells"))
+    rows, _ = staged(
+        rows.select(
+            "id", "k", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"), "own", "edited", F.col("next_own").alias("next"),
+            fingerprint(F.col("cells")).alias("fingerprint"), fingerprint(F.col("edited_cells")).alias("edited_fingerprint"),
+            subtracted(F.col("cells"), F.col("edited_cells")).alias("d_edited"), subtracted(F.col("cells"), F.col("next_cells")).alias("d_next"),
+        ), "digests",
+    )
+    versions = lambda **of: F.explode(F.array(*(F.struct(F.lit(w).alias("with_next"), *(F.col(c).alias(n) for n, c in zip(of, cs, strict=True))) for w, cs in enumerate(zip(*of.values(), strict=True)))))
+    few = rows.select("k", versions(d=("d_edited", "d_next")).alias("p")).select("k", "p.*")
+    told, _ = peel_fingerprints(few, "d", keys=["k", "with_next"])
+    both = rows.select("k", versions(l=("own", "own"), r=("edited", "next")).alias("p")).select("k", "p.*")
+    seen = told.groupBy(F.col("k").alias("k_")).agg(F.collect_set("with_next").alias("seen"))
+    # Beyond what workers take, the arrays are exchanged by key, as they are for peeling.
+    n_seen = told.count()
+    rest = both.join(F.broadcast(seen) if n_seen <= FEW else seen, F.col("k") == F.col("k_"), "left").where(~F.coalesce(F.array_contains("seen", F.col("with_next")), F.lit(False)))
+    peeled, _ = peel_differences(rest.select("k", "with_next", "l", "r"), "l", "r", keys=["k", "with_next"])
     of = lambda c, w: F.max(F.when(F.col("with_next") == w, F.col(c)))
-    peeled = peeled.groupBy("k").agg(of("n_left", 0).alias("e_left"), of("n_right", 0).alias("e_right"), of("n_left", 1).alias("x_left"), of("n_right", 1).alias("x_right"))
+    found = peeled.unionByName(told).groupBy(F.col("k").alias("k_")).agg(*(of(c, w).alias(f"{c}_{w}") for c in ("n_left", "n_right", "cells") for w in (0, 1)))
     n_own = F.size("own")
-    kept = rows.select("k", "id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), n_own.alias("n_own"))
-    near = lambda left, right: F.when(F.col("n_own") + F.col(right) == 0, 1.0).otherwise((F.col("n_own") - F.col(left)) / (F.col("n_own") + F.col(right)))
-    out = kept.join(peeled, "k")
-    return out.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("e_left", "e_right").alias("near_edited"), near("x_left", "x_right").alias("near_next"))
+    near = lambda w: F.when(n_own + F.col(f"n_right_{w}") == 0, 1.0).otherwise((n_own - F.col(f"n_left_{w}")) / (n_own + F.col(f"n_right_{w}")))
+    out = rows.join(found, F.col("k") == F.col("k_"))
+    return out.select(
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near(0).alias("near_edited"), near(1).alias("near_next"),
+        n_own.cast("long").alias("n_paragraphs"), F.col("cells_0").alias("cells_edited"), F.col("cells_1").alias("cells_next"),
+    )

@@ -72,3 +72,66 @@ def test_paragraphs_are_split_alike_by_spark(spark):
     text = "One. Two!! Three\n\nFour " + "x" * 300 + " 日本. é"
     n = spark.createDataFrame([(text,)], "t string").select(F.size(iblt.digests("t"))).first()[0]
     assert n == len(set(PARAGRAPH.findall(text)))
+
+
+def peeled_by_hand(a: str, b: str, width: int):
+    """The differing digests of two fingerprints, by plain peeling of their text; None where it gets stuck."""
+    def read(f):
+        return [[int(x, 16) for x in c.split(".")] for c in f.split(":")]
+
+    def signed(x):
+        return x - 2**64 if x >= 2**63 else x
+
+    cells = [[signed(n) - signed(m), k ^ j, c ^ d] for (n, k, c), (m, j, d) in zip(read(a), read(b), strict=True)]
+    assert len(cells) == 3 * width
+    left = right = 0
+    while any(any(c) for c in cells):
+        pure = next((c for i, c in enumerate(cells) if abs(c[0]) == 1 and HASHES.get(c[1]) == c[2] and i in SLOTS[c[1]]), None)
+        if pure is None:
+            return None
+        n, key, chk = pure
+        left, right = left + (n > 0), right + (n < 0)
+        for s in SLOTS[key]:
+            cells[s] = [cells[s][0] - n, cells[s][1] ^ key, cells[s][2] ^ chk]
+    return left, right
+
+
+HASHES: dict = {}
+SLOTS: dict = {}
+
+
+def test_likenesses_are_those_of_the_fingerprints(spark):
+    """Where the result says that the fingerprints told a likeness, peeling their text by hand tells it too."""
+    rng = random.Random(6)
+    base = [cases.words(rng, 6) for _ in range(40)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(40)] = cases.words(rng, 5)
+        rows.append((i, ". ".join(w)))
+    docs = cases.documents(spark, rows)
+    keys = docs.select(F.explode(iblt.digests("text")).alias("k")).distinct()
+    slots = [iblt._slot(F.col("k"), r, F.lit(iblt.KEPT), 0) for r in range(3)]
+    for r in keys.select("k", iblt._check(F.col("k")).alias("c"), F.array(*slots).alias("s")).collect():
+        HASHES[r.k % 2**64], SLOTS[r.k % 2**64] = r.c % 2**64, r.s
+    got = sorted(iblt.fingerprint_edits(docs).collect(), key=lambda r: r.doc_id)
+    told = 0
+    for a, b in zip(got, got[1:], strict=False):
+        if a.cells_next == 3 * iblt.KEPT:
+            told += 1
+            left, right = peeled_by_hand(a.fingerprint, b.fingerprint, iblt.KEPT)
+            assert abs((a.n_paragraphs - left) / (a.n_paragraphs + right) - a.near_next) < 1e-12
+    assert told > 10 and any(r.cells_edited > 3 * iblt.KEPT for r in got)
+
+
+def test_delimiters_alone_are_paragraphs(spark):
+    docs = cases.documents(spark, [(1, "!!!"), (2, "???"), (3, ""), (4, "...Yes. No"), (5, "Yes. No"), (6, "\n\n" * 5000)])
+    r = {x.doc_id: x for x in iblt.fingerprint_edits(docs).collect()}
+    assert len({x.fingerprint for x in r.values()}) == 6 and r[1].near_next == 0.0
+    assert got(docs) == expected([(x.doc_id, x.text) for x in docs.collect()])
+
+
+def test_native(spark):
+    plan = iblt.fingerprint_edits(cases.documents(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
