@@ -149,7 +149,7 @@ def _peel(cells: DataFrame, keys: list[str], seed: int) -> DataFrame:
 
 
 def peel_fingerprints(differences: DataFrame, column: str, *, keys: list[str], width: int = KEPT) -> tuple[DataFrame, str]:
-    """What peel_differences gives, of the rows whose subtracted sketches tell it; and its path. Rows with more than three quarters of the cells in use aren't tried."""
+    """What peel_differences gives, of the rows whose subtracted sketches tell it; and its path. Rows with more than three quarters of the cells in use, or a null difference, aren't tried."""
     all_ = differences.select(*keys, F.col(column).alias("d")).where(F.size("d") <= 3 * width * 3 // 4)
     same = all_.where(F.size("d") == 0).select(*keys, *(F.lit(n).cast("long").alias(c) for c, n in (("n_left", 0), ("n_right", 0), ("cells", 3 * width))))
     cells = all_.where(F.size("d") > 0).repartition(n_partitions(differences.sparkSession), keys[0]).select(*keys, F.lit(width).cast("long").alias("width"), F.explode("d").alias("c"))
@@ -165,13 +165,13 @@ def _summed(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_next(docs: DataFrame, *, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """(id, text, own, cells, k) and, with next_ before them, the text, digests and sketch of the row after it by id (ties: by text), after the last those of the first.
+    """(id, text, own, k) and, with next_ before them, the text and digests of the row after it by id (ties: by text), after the last those of the first.
 
     k is unique. Rows are dealt into ranges of ids by quantiles, and a range also gets copies of the rows with the next range's first
     id, so that each range is ordered alone and none needs all rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    told = rows.select("*", digests("text").alias("own")).select("*", spread(F.col("own")).alias("at")).select("id", "text", "own", sketch(F.col("at")).alias("cells"))
+    told = rows.select("*", digests("text").alias("own"))
     ends = rows.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)], 10_000).alias("s"), F.min("id").alias("a"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls")).first()
     starts = sorted({s for s in ends.s or [] if s != ends.a})
     # Two levels of about the root of their number each: a row is compared with few of them.
@@ -187,10 +187,10 @@ def with_next(docs: DataFrame, *, id_col: str, text_col: str, buckets: int) -> D
     first = F.col("id").isNull() if ends.nulls else F.col("id") == F.lit(ends.a)
     more.append(F.when(first, F.struct(F.lit(len(starts)).alias("bucket"), F.lit(2).alias("copy"))))
     copies = F.array_compact(F.array(F.struct(mine.alias("bucket"), F.lit(0).alias("copy")), *more))
-    dealt = told.withColumn("c", F.explode(copies)).select("id", "text", "own", "cells", "c.bucket", "c.copy")
+    dealt = told.withColumn("c", F.explode(copies)).select("id", "text", "own", "c.bucket", "c.copy")
     order = Window.partitionBy("bucket").orderBy("copy", F.asc_nulls_first("id"), "text")
     k = F.col("bucket").cast("long") * 2**40 + F.row_number().over(order)
-    return dealt.withColumns({**{f"next_{c}": F.lead(c).over(order) for c in ("text", "own", "cells")}, "k": k}).where("copy = 0").drop("bucket", "copy")
+    return dealt.withColumns({**{f"next_{c}": F.lead(c).over(order) for c in ("text", "own")}, "k": k}).where("copy = 0").drop("bucket", "copy")
 
 
 def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,17 +206,21 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     pairs = with_next(docs, id_col=id_col, text_col=text_col, buckets=max(2, min(10_000, 4 * n_partitions(spark))))
     half = F.floor(F.length("text") / 2).cast("int")
     rows = pairs.withColumn("edited_text", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.select("*", digests("edited_text").alias("edited")).select("*", spread(F.col("edited")).alias("at")).select("*", sketch(F.col("at")).alias("edited_cells"))
+    rows = rows.select("*", digests("edited_text").alias("edited"))
+    rows = rows.select("*", *(spread(F.col(c)).alias(f"{c}_at") for c in ("own", "edited", "next_own")))
+    rows = rows.select("*", *(sketch(F.col(f"{c}_at")).alias(f"{c}_cells") for c in ("own", "edited", "next_own")))
+    # Differences too large for the fingerprints aren't kept.
+    few = lambda c: F.filter(F.array(subtracted(F.col("own_cells"), F.col(c))), lambda d: F.size(d) <= 3 * KEPT * 3 // 4)
     rows, _ = staged(
         rows.select(
             "id", "k", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"), "own", "edited", F.col("next_own").alias("next"),
-            fingerprint(F.col("cells")).alias("fingerprint"), fingerprint(F.col("edited_cells")).alias("edited_fingerprint"),
-            subtracted(F.col("cells"), F.col("edited_cells")).alias("d_edited"), subtracted(F.col("cells"), F.col("next_cells")).alias("d_next"),
+            fingerprint(F.col("own_cells")).alias("fingerprint"), fingerprint(F.col("edited_cells")).alias("edited_fingerprint"),
+            F.get(few("edited_cells"), F.lit(0)).alias("d_edited"), F.get(few("next_own_cells"), F.lit(0)).alias("d_next"),
         ), "digests",
     )
     versions = lambda **of: F.explode(F.array(*(F.struct(F.lit(w).alias("with_next"), *(F.col(c).alias(n) for n, c in zip(of, cs, strict=True))) for w, cs in enumerate(zip(*of.values(), strict=True)))))
-    few = rows.select("k", versions(d=("d_edited", "d_next")).alias("p")).select("k", "p.*")
-    told, _ = peel_fingerprints(few, "d", keys=["k", "with_next"])
+    small = rows.select("k", versions(d=("d_edited", "d_next")).alias("p")).select("k", "p.*")
+    told, _ = peel_fingerprints(small, "d", keys=["k", "with_next"])
     both = rows.select("k", versions(l=("own", "own"), r=("edited", "next")).alias("p")).select("k", "p.*")
     seen = told.groupBy(F.col("k").alias("k_")).agg(F.collect_set("with_next").alias("seen"))
     # Beyond what workers take, the arrays are exchanged by key, as they are for peeling.
