@@ -20,7 +20,7 @@ from millrace.plans.executors import LocalExecutor
 from millrace.plans.graph import PipelineGraph
 from millrace.plans.task import COMMON_ORIGIN, MaxRows, Resources, Task, TaskRegistry
 from millrace.plans.tracker import Lineage, OutputBatch, PathStep, PipelineTracker
-from millrace.sources.frames import FrameSource, GeneratorSource, RangeSource
+from millrace.sources.frames import FrameSource, GeneratorSource, NumberedSource, RangeSource
 from millrace.streaming.runner import FileStream, StreamRunner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +162,18 @@ def source_custom(spark, sf_dir):
     return run(spark, chain(Task.passthrough("out")), GeneratorSource(spark.createDataFrame([], "x bigint").schema, make)).frame("out")
 
 
+def _made(i: int) -> pa.Table:
+    return pa.table({"x": pa.array([i * 10 + k for k in range(i % 4)], pa.int64())})
+
+
+@query("select i * 10 + k as x, i // 3 as bid from (select cast(unnest(range(1000)) as bigint) as i), (select cast(unnest(range(4)) as bigint) as k) where k < i % 4")
+def source_distributed(spark, sf_dir):
+    """Batches that workers make from their numbers, every fourth one empty; the graph tells them by their origins."""
+    r = run(spark, chain(Task.passthrough("out")), NumberedSource(spark.createDataFrame([], "x bigint").schema, _made), max_batches=1000)
+    of = r.batches("out").select(F.col("batch").alias("b"), F.element_at("origins", 1).alias("origin"))
+    return r.batched("out").join(of, F.col(BATCH) == F.col("b")).select("x", F.floor(F.col("origin") / 3).alias("bid"))
+
+
 @query(f"select event_id, user_id from ({_RN}) where rn // 64 < 50")
 def source_max_batches(spark, sf_dir):
     """A limit on batches, not on rows."""

@@ -174,7 +174,7 @@ class PipelineGraph:
         return out
 
     def summary(self) -> str:
-        """Tasks with their part, batch mode and resources, edges, and tasks by rank."""
+        """Tasks with their part, batch mode and resources, edges, and tasks by rank; the layout is a fixed format."""
         ranks = self.rank_from_sink()
         role = lambda n: "SOURCE" if n.is_source else "SINK  " if n.is_sink else "      "
         lines = [f"Pipeline: {self.task_count} tasks ({len(self.source_tasks())} source, {len(self.sink_tasks())} sink), {len(self._edges)} edges", ""]

@@ -107,6 +107,7 @@ class PipelineTracker:
         return Summary(spent, self._sinks, total, sum(s.wall_ns for s in self._stats.values()), total / 1e9 / spent if spent else 0.0, {t: self.stats(t) for t in self.order})
 
     def table(self) -> str:
+        """The statistics as text; the layout is a fixed format."""
         s = self.summary()
         out = [f"  elapsed: {s.elapsed_s:.1f}s  sink batches: {s.sink_batches}  total exec: {_ms(s.total_exec_ns)}  parallelism: {s.parallelism:.1f}x"]
         out += [f"  {'TASK':<15} {'RUNS':>6} {'EXEC':>12} {'% EXEC':>8} {'WALL':>12} {'% WALL':>8}", "  " + "-" * 66]

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,7 +90,10 @@ class RangeSource(Source):
 
 @dataclass
 class GeneratorSource(Source):
-    """Batches from a Python generator of pyarrow tables with a given schema; polled until it ends, and never again."""
+    """Batches from a Python generator of pyarrow tables with a given schema; polled until it ends, and never again.
+
+    A generator runs in one place, the driver, which gathers its batches; a source of many batches is a NumberedSource.
+    """
 
     produces: T.StructType
     make: Callable[[], Iterator[pa.Table]]
@@ -112,6 +116,47 @@ class GeneratorSource(Source):
         return Batches(data, meta, None, True, len(sizes)), []
 
 
+@dataclass
+class NumberedSource(Source):
+    """Batches 0, 1, ... of a custom source, each made by a worker from its number; an endless one needs a limit.
+
+    make: from a number to a pyarrow table of the given schema. It may run again where an executor is lost, so a number always gives the
+    same rows.
+    """
+
+    produces: T.StructType
+    make: Callable[[int], pa.Table]
+    n: int | None = None
+
+    def schema(self, spark):
+        return self.produces
+
+    def rows(self, spark):
+        return self._made(spark, None).drop(BATCH, POS)
+
+    def _made(self, spark, most):
+        if self.n is None and most is None:
+            raise ValueError("an endless source needs a maximum number of batches")
+        n, make, fields = min(x for x in (self.n, most) if x is not None), self.make, self.produces.fields
+
+        def run(parts):
+            for part in parts:
+                for i in part.column("id").to_pylist():
+                    t = make(i).select([f.name for f in fields])
+                    t = t.append_column(BATCH, pa.array([i] * t.num_rows, pa.int64())).append_column(POS, pa.array(range(t.num_rows), pa.int64()))
+                    yield from t.to_batches()
+
+        return spark.range(n).mapInArrow(run, T.StructType([*fields, T.StructField(BATCH, T.LongType()), T.StructField(POS, T.LongType())]))
+
+    def batches(self, spark, most=None):
+        data = self._made(spark, most).persist(StorageLevel.MEMORY_AND_DISK)
+        n = min(x for x in (self.n, most) if x is not None)
+        sizes = data.groupBy(F.col(BATCH).alias("__b2")).agg(F.count(F.lit(1)).alias("__n"))
+        b = F.col("id")
+        meta = spark.range(n).join(sizes, b == F.col("__b2"), "left").select(b.alias("batch"), b.alias("rank"), F.coalesce("__n", F.lit(0)).cast("long").alias("rows"), b.alias("lo"), b.alias("hi"), *no_steps())
+        return Batches(data, meta, None, True, n), [data]
+
+
 def endless_stream(spark: SparkSession, rows_per_batch: int = 1) -> DataFrame:
     """The default generator as a stream: id = 0, 1, ... with so many rows in each micro-batch."""
     return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).load().select(F.col("value").alias("id"))
