@@ -55,7 +55,8 @@ def encode(text: str | None, enc: tiktoken.Encoding, long: int = LONG) -> list[i
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id and its ids of tokens (id_col, token_ids). Null and empty texts have none; rows keep their number."""
+    """Each row's id and its ids of tokens (id_col, token_ids). Null and empty texts have none; every row gives one row, repeated ones too;
+    an empty table gives an empty one; other columns, whatever their names, play no part."""
 
     def run(batches):
         enc = encoding(ranks, pattern)
@@ -67,7 +68,8 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, *, id_col: str =
 
 
 def decode_documents(encoded: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
-    """The raw bytes of ids (id_col, decoded); they need not be UTF-8 where ids are part of a text. Null ids give no bytes."""
+    """The raw bytes of ids (id_col, decoded); they need not be UTF-8 where ids are part of a text. Null ids give no bytes;
+    every row gives one row, repeated ones too; an empty table gives an empty one; other columns play no part."""
 
     def run(batches):
         enc = encoding(ranks, pattern)
