@@ -45,7 +45,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     if len(words) < k:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64).view(np.int64)
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 150_000:
         _WORDS.clear()
     ids = np.empty(len(words), np.uint64)
     for i, w in enumerate(words):

@@ -190,7 +190,7 @@ def _refilled(value: str, bare: str) -> str:
     return "".join(next(chars) if c.isascii() and c.isalnum() else c for c in value)
 
 
-@functools.lru_cache(maxsize=100_000)
+@functools.lru_cache(maxsize=30_000)
 def pseudonym(kind: str, value: str, key: bytes, inverse: bool = False) -> str:
     """A value's pseudonym of the same format, or with inverse the value of a pseudonym.
 

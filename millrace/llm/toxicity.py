@@ -88,7 +88,7 @@ class ToxicityModel:
                 at = known.get(w)
                 if at is None:
                     at = tuple(index[f] for f in word_features(w) if f in index)
-                    if len(known) > 200_000:
+                    if len(known) > 60_000:
                         known.clear()
                     known[w] = at
                 for i in at:
@@ -128,7 +128,7 @@ class Counterfactuals:
             for w, n in words.items():
                 at = self.words.get(w)
                 if at is None:
-                    if len(self.words) > 200_000:
+                    if len(self.words) > 50_000:
                         self.words.clear()
                     at = self.words[w] = tuple(f for f in word_features(w) if f in self.sharing)
                 if w in self.others:
